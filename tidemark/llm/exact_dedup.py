@@ -1,14 +1,14 @@
 """Exact deduplication by skew-safe combining (DataFrame operations only).
 
-Three stages, each grouping by the whole normalised text and not only by its digest:
+Digests alone are counted first, so that the few hot ones are known. Then three stages group by the whole
+normalised text and not only by its digest:
 
 1. local: the map side of the first aggregation folds the copies inside one input partition into one row;
-2. salted: rows meet by (digest, salt), the salt being the input partition modulo ``salts``, so the copies of a hot text
-   are merged by up to ``salts`` tasks;
-3. global: at most ``salts`` winners per text meet by digest; the smallest id stays.
+2. salted: rows meet by (digest, salt); a hot digest takes its input partition modulo ``salts`` as salt, any other 0;
+3. global: the salt winners of hot digests meet by digest and text, at most ``salts`` rows each; the smallest id stays.
 
 The documents then take their verdict from the digest table. Should two texts ever share a digest, their
-documents are joined on the text as well.
+documents are grouped by the text as well.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest=None) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, hot_rows: int = 1000, digest=None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Null text is the empty text; an empty table gives no rows; other columns are ignored. Null ids sort last: they
@@ -35,26 +35,25 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts
     digest = digest or (lambda text: F.sha2(text, 256))
     base = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body"))
     base = base.withColumn("digest", digest(F.col("body")))
+    ids = cut(base.select("id", "digest"), "dedup-ids")
+    floor = max(hot_rows, ids.count() // 1000)
+    hot = ids.groupBy("digest").count().filter(F.col("count") > floor).select("digest", F.lit(True).alias("hot"))
     salted = (
-        base.withColumn("salt", F.spark_partition_id() % salts)
-        .groupBy("digest", "salt", "body")
+        base.join(F.broadcast(hot), "digest", "left")  # fewer than 1000 digests hold over a thousandth of all rows each
+        .withColumn("salt", F.when(F.col("hot"), F.spark_partition_id() % salts).otherwise(0))
+        .groupBy("digest", "salt", "hot", "body")
         .agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
     )
-    texts = (
-        salted.repartition("digest")
-        .groupBy("digest", "body")
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    winners = salted.select("digest", F.when(F.col("hot"), F.col("body")).alias("body"), "hot", "keep_id", "n").repartition("digest")
+    texts = winners.groupBy("digest", "body").agg(
+        F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"), F.when(F.first("hot"), 1).otherwise(F.count("*")).alias("texts")
     )
     classes = cut(
-        texts.groupBy("digest").agg(
-            F.count("*").alias("texts"),
-            F.min("keep_id").alias("keep_id"),
-            F.sum("group_size").alias("group_size"),
-        ),
+        texts.groupBy("digest").agg(F.sum("texts").alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")),
         "dedup-classes",
     )
     clash = classes.filter("texts > 1").select("digest")
-    joined = base.select("id", "digest").join(classes.filter("texts = 1").select("digest", "keep_id", "group_size"), "digest")
+    joined = ids.join(classes.filter("texts = 1").select("digest", "keep_id", "group_size"), "digest")
     joined = joined.select("id", "digest", "keep_id", "group_size")
     if not clash.isEmpty():
         again = base.join(clash, "digest", "left_semi")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fair_mix, kd_shards, url_rules
+from . import exact_dedup, fair_mix, kd_shards, ppm_lang, token_planes, url_rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.by_metadata(_docs(spark, sf_dir))
 
 
+def op4_token_planes(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return token_planes.encode(_docs(spark, sf_dir), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix(_docs(spark, sf_dir))
 
@@ -29,8 +35,14 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_lang.identify(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_kd_shards, op5_fair_mix, op7_url_rules)}
+    return {f.__name__: f for f in (
+        op2_exact_dedup, op3_kd_shards, op4_token_planes, op5_fair_mix, op7_url_rules, op9_ppm_language,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
