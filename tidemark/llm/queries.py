@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fair_mix, kd_shards, ppm_lang, token_planes, url_rules
+from . import exact_dedup, fair_mix, kd_shards, ordinal_quality, ppm_lang, token_planes, url_rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +39,14 @@ def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_lang.identify(_docs(spark, sf_dir))
 
 
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal_quality.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op2_exact_dedup, op3_kd_shards, op4_token_planes, op5_fair_mix, op7_url_rules, op9_ppm_language,
+        op10_ordinal_quality,
     )}
 
 
