@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fair_mix, kd_shards, ordinal_quality, ppm_lang, token_planes, url_rules
+from . import exact_dedup, fair_mix, kd_shards, ngram_join, ordinal_quality, ppm_lang, token_planes, url_rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_docs(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_docs(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_exact_dedup, op3_kd_shards, op4_token_planes, op5_fair_mix, op7_url_rules, op9_ppm_language,
+        op1_ngram_join, op2_exact_dedup, op3_kd_shards, op4_token_planes, op5_fair_mix, op7_url_rules, op9_ppm_language,
         op10_ordinal_quality,
     )}
 
