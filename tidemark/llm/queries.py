@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fair_mix, kd_shards, ngram_join, ordinal_quality, ppm_lang, token_planes, url_rules
+from . import cgk_decontam, exact_dedup, fair_mix, kd_shards, ngram_join, ordinal_quality, ppm_lang, token_planes, url_rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cgk_decontam.find(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_lang.identify(_docs(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_ngram_join, op2_exact_dedup, op3_kd_shards, op4_token_planes, op5_fair_mix, op7_url_rules, op9_ppm_language,
+        op1_ngram_join, op2_exact_dedup, op3_kd_shards, op4_token_planes, op5_fair_mix, op7_url_rules, op8_cgk_decontam, op9_ppm_language,
         op10_ordinal_quality,
     )}
 
