@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_owners: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where the session names none (tests)."""
@@ -32,10 +36,39 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read back (lineage ends here)."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    note(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``cut`` wrote, once nothing that is still to run reads it."""
+    _delete(df.sparkSession, df._written_at)
+
+
+@contextmanager
+def owned(paths: list[str]) -> Iterator[None]:
+    """Meanwhile the folders that operators write are listed in ``paths``."""
+    _owners.append(paths)
+    try:
+        yield
+    finally:
+        _owners.pop()
+
+
+def note(path: str) -> None:
+    """Lists a folder with the present owner, if there is one."""
+    if _owners:
+        _owners[-1].append(path)
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed with its partitions and their order kept."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes the folders in ``paths``; for callers whose results are written."""
+    while paths:
+        _delete(spark, paths.pop())

@@ -78,3 +78,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
             )
             taken = taken + F.when(within & (F.col("size") > 0) & (F.col("target") > 0), F.col("size")).otherwise(0)
     return before.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, in no order; a row that repeats counts as often as it stands there."""
+    names, text = docs.columns, options.get("text_col", "text")
+    key = F.struct(F.col(id_col), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("version"))
+    rows = docs.withColumn("mix_key", key)
+    passes = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    wanted = mix(rows.withColumn(id_col, F.col("mix_key")), id_col=id_col, **options)
+    wanted = wanted.groupBy(F.col(id_col).alias("mix_key")).agg(F.sum(passes).alias("passes"), F.count("*").alias("copies")).filter("passes > 0")
+    wanted = cut(wanted, "mix-passes")
+    repeated = wanted.filter("copies > 1")
+    once = rows.join(wanted.filter("copies = 1"), "mix_key")
+    if not repeated.isEmpty():
+        once = once.unionByName(rows.join(repeated, "mix_key").dropDuplicates(["mix_key"]))
+    return once.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*names)

@@ -28,7 +28,7 @@ import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ._cut import cut, fresh_path
+from ._cut import cut, fresh_path, note
 from ._words import ragged, slices, words_of
 
 MAGIC = b"TMPLANE1"
@@ -244,7 +244,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: st
     by a hash of their text; an empty table writes nothing. A file is complete when the manifest names it: a failed
     task's file keeps a name of its own that no manifest has.
     """
-    folder = folder or fresh_path(docs.sparkSession, "token-planes")
+    if folder is None:
+        note(folder := fresh_path(docs.sparkSession, "token-planes"))
     _make_dir(folder)
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keys = [F.asc_nulls_last("id"), F.xxhash64("text").asc()]
