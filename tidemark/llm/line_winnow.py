@@ -73,15 +73,20 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     return runs.groupBy("id", "version").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 500_000) -> DataFrame:
     """One row per input row: id, n_lines, removed_lines, removed_runs, clean_text.
 
+    The runs go to the scan of the texts by broadcast while at most ``most_broadcast`` documents have any (and four times as many runs),
+    else texts and runs meet by a shuffle.
+
     Null text is the empty text (one empty line); texts below ``min_words`` words and empty tables lose nothing; a
     repeated row gets the same text as its first copy; blank lines go with the run around them.
     """
     keyed = _keyed(docs, id_col, text_col)
     runs = cut(repeated_runs(docs, min_words, id_col, text_col), "line-runs")
-    full = keyed.join(runs, ["id", "version"], "left")
+    sizes = runs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("runs")).first()
+    small = sizes["docs"] <= most_broadcast and sizes["runs"] <= 4 * most_broadcast
+    full = keyed.join(F.broadcast(runs) if small else runs, ["id", "version"], "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
     gone = F.coalesce(F.aggregate("runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1), F.lit(0))
