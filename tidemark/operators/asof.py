@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 def asof_join(anchors: DataFrame, quotes: DataFrame, key: str, at: str, made: str, known: str, quote_id: str, value: str) -> DataFrame:
     """``anchors`` with struct ``quote`` (made, known, id, value) in force at column ``at``; null where none is."""
     best = F.struct(F.col(made).alias("made"), F.col(known).alias("known"), F.col(quote_id).alias("id"), F.col(value).alias("value"))
-    side = quotes.select(F.col(key), F.greatest(made, known).alias("_t"), best.alias("_q")).filter("_t is not null")
+    side = quotes.filter(F.col(made).isNotNull() & F.col(known).isNotNull()).select(F.col(key), F.greatest(made, known).alias("_t"), best.alias("_q"))
     side = side.withColumn("_day", F.to_date("_t"))
     ends = side.groupBy(key, "_day").agg(F.max("_q").alias("_end"))
     wanted = anchors.withColumn("_t", F.col(at)).withColumn("_day", F.to_date("_t"))
