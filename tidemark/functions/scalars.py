@@ -126,7 +126,7 @@ def category(question: Column, context: Column, excluded=CATEGORY_EXCLUDED, cate
 def relevance_reason(question: Column, titles: Column, kind: Column) -> Column:
     """Where and what the category's cue is: QUESTION:cue, PROVIDER_EVENT_TITLE:cue, or the general reason."""
     cue = F.coalesce(*[F.when(kind == name, CUE_GEOPOLITICS if name == "GEOPOLITICS" else p) for name, p in CATEGORIES])
-    found = lambda v: F.regexp_extract(F.lower(v), cue, 0)
+    found = lambda v: F.call_function("regexp_extract", F.lower(v), cue, F.lit(0))
     in_titles = F.filter(F.transform(F.coalesce(titles, F.array().cast("array<string>")), found), lambda x: x != "")
     return F.when(kind.isNotNull(), F.coalesce(
         F.when(found(question) != "", F.concat(F.lit("QUESTION:"), found(question))),
