@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def tidied(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An iterator function whose worker hands memory back to the system when a task ends (workers outlive their tasks)."""
+
+    @wraps(function)
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows of about ``most`` bytes in ``column`` (a longer row makes a run of its own)."""
     if not batch.num_rows:
         return

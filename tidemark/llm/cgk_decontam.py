@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._words import ragged, slices, words_of
+from ._words import ragged, slices, tidied, words_of
 
 DROP = re.compile(r"[\W_]+")
 SAMPLES, ANCHOR = 3, 4
@@ -214,7 +214,7 @@ def find(
                     )
 
         piece_type = {"bigint": pa.int64(), "int": pa.int32()}.get(benchmark.schema[item_col].dataType.simpleString(), pa.string())
-        some = docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, schema)
+        some = docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(tidied(run), schema)
         result = some if result is None else result.unionByName(some)
         after += block
         if len(part) < block:

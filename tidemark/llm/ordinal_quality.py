@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ._sample import bounded_ids
-from ._words import slices, words_of
+from ._words import slices, tidied, words_of
 
 BITS = 18
 SHAPES = ("upper", "marks", "bar", "letters", "digits", "mixed", "bang", "repeat")
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, ratings: DataFrame, levels: int = 3, per_grade: int = 3
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(cols[order], pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("grade"), lists], names=["id", "grade", "cols"])
 
-    found = picked.mapInArrow(describe, f"id {docs.schema[id_col].dataType.simpleString()}, grade int, cols array<int>").toPandas()
+    found = picked.mapInArrow(tidied(describe), f"id {docs.schema[id_col].dataType.simpleString()}, grade int, cols array<int>").toPandas()
     found = found.sort_values("id", kind="stable")
     lengths = np.array([len(c) for c in found["cols"]], np.int64)
     cols = np.concatenate(found["cols"].tolist()).astype(np.int64) if len(found) else np.zeros(0, np.int64)
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: OrdinalModel, levels: int = 3, text_col: str =
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(tails.sum(1)), lists], names=[*names, "expected_grade", "tails"])
 
     out = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tails", T.ArrayType(T.DoubleType()))]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *out]))
+    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, *out]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5) -> DataFrame:

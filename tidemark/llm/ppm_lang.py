@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ._sample import bounded_ids
-from ._words import slices
+from ._words import slices, tidied
 
 START = 10  # the byte that stands before every text
 
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFra
                 )
 
     out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return asked.mapInArrow(score, out)
+    return asked.mapInArrow(tidied(score), out)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

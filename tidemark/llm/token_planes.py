@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ._cut import cut, fresh_path, note
-from ._words import ragged, slices, words_of
+from ._words import ragged, slices, tidied, words_of
 
 MAGIC = b"TMPLANE1"
 #: ASCII marks that never join a letter or digit before them into one piece of the vocabulary's word pattern.
@@ -170,7 +170,7 @@ class WordEncoder:
     looked up apart. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -181,7 +181,7 @@ class WordEncoder:
     def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of distinct strings and the number of ids of each."""
         items, known = words.to_pylist(), self.known
-        if len(known) + len(items) > self.most:
+        if len(known) > self.most:
             known.clear()
         new = [w for w in items if w not in known]
         for start in range(0, len(new), 4096):
@@ -269,9 +269,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: st
         if writer:
             writer.close()
             out.close()
+            encoder.known.clear()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "docs": [n_docs], "ids": [n_ids]})
 
-    return cut(ordered.mapInArrow(put, "part long, path string, docs long, ids long"), "token-manifest")
+    return cut(ordered.mapInArrow(tidied(put), "part long, path string, docs long, ids long"), "token-manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -297,7 +298,7 @@ def read(manifest: DataFrame) -> DataFrame:
 
     listed = spark.createDataFrame(files, "path string, base long")
     listed = listed.repartition(max(1, len(files)))
-    return listed.mapInPandas(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInPandas(tidied(get), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
