@@ -67,7 +67,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     finish = (F.col("before") + F.col("size") + F.col("turn") * F.col("source_size")) / F.col("target")
     turns = turns.filter("size > 0 and target > 0").select(finish.alias("finish"), "rank", "turn", "size")
     line = running_total(turns, [F.col("finish"), F.col("rank"), F.col("turn")], "size", "sent")
-    budget = wanted.agg(F.sum("target")).first()[0] or 0.0
+    budget = (wanted.agg(F.sum("source_size")).first()[0] or 0) * min(share_pct, 100 * passes) / 100  # the sum of all targets, exactly
     last = line.filter(F.col("sent") + F.col("size") / 2 <= budget).agg(F.max(F.struct("finish", "rank", "turn")).alias("k")).first()["k"]
     taken = F.lit(0).cast("long")
     if last is not None:
