@@ -1,7 +1,7 @@
 """Quality by ordinal cumulative-link regression on graded ratings.
 
 P(grade >= k) = sigmoid(w.x - theta_k) with one weight vector over hashed text features shared by all grades and ordered
-thresholds theta_1 < theta_2 < ... Features are present or absent: each hashed lower-case word, and the class of each word shape's share
+thresholds theta_1 < theta_2 < ... Features are present or absent: each hashed lower-case word, its first four and five letters, and the class of each word shape's share
 of the text. An L1 penalty leaves words without evidence at exactly zero, so the length of a text does not move its grade.
 """
 
@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ._sample import bounded_ids
 from ._words import slices, tidied, words_of
 
-BITS = 18
+BITS = 20
+PREFIXES = (4, 5)
 SHAPES = ("upper", "marks", "bar", "letters", "digits", "mixed", "bang", "repeat")
 STEPS = np.array([0.02, 0.1, 0.3, 0.6])
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -50,12 +51,19 @@ def features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndar
     codes, offsets, words = words_of(texts)
     n = len(offsets) - 1
     doc = np.repeat(np.arange(n), np.diff(offsets))
-    # trimmed and hashed once for each distinct word of the batch
-    bare = pc.utf8_lower(pc.utf8_trim(words, EDGE)).to_pylist()
-    bucket = np.fromiter(map(_bucket, bare), np.int64, len(bare))
-    use = np.ones(len(bucket), bool) if wanted is None else wanted[bucket] if len(bucket) else np.zeros(0, bool)
-    hit = use[codes] if len(codes) else np.zeros(0, bool)
-    pairs = np.unique(doc[hit] * (1 << BITS) + bucket[codes[hit]])
+    bare = pc.utf8_lower(pc.utf8_trim(words, EDGE))
+    found = [np.zeros(0, np.int64)]
+    for length in (0, *PREFIXES):
+        # hashed once for each distinct word or beginning of the batch
+        part = (pc.utf8_slice_codeunits(bare, 0, length) if length else bare).dictionary_encode()
+        beginnings = part.dictionary.to_pylist()
+        bucket = np.fromiter((_bucket(f"{length}^{w}" if length else w) for w in beginnings), np.int64, len(beginnings))[part.indices.to_numpy()]
+        use = np.ones(len(bucket), bool) if wanted is None else wanted[bucket] if len(bucket) else np.zeros(0, bool)
+        if length:
+            use &= pc.greater(pc.utf8_length(bare), length).to_numpy(zero_copy_only=False)
+        hit = use[codes] if len(codes) else np.zeros(0, bool)
+        found.append(doc[hit] * (1 << BITS) + bucket[codes[hit]])
+    pairs = np.unique(np.concatenate(found))
     shape = _shapes(words)
     total = np.maximum(1, np.diff(offsets))
     rows, cols = [pairs >> BITS], [pairs & ((1 << BITS) - 1)]
