@@ -84,9 +84,10 @@ def test_ngram_join_chains_and_borderline_pairs(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == _brute_components(rows)
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("most_in_task", [0, 1000])
+def test_components_of_a_path_and_a_star(spark, most_in_task):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 299)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), most_in_task=most_in_task).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30)) and got[300] == 299
 
 
