@@ -94,7 +94,7 @@ class PpmModel:
         for k in range(1, order + 1):
             state = np.tile(state, width)  # context key = older symbol * width ** (k - 1) + the newer ones
             state[kept[k]] = base[k] + np.arange(len(kept[k]))
-        return cls(langs, symbol.astype(np.int32), state, np.concatenate(costs).reshape(-1, len(langs)), width, order)
+        return cls(langs, symbol.astype(np.int32), state, np.concatenate(costs).reshape(int(base[-1]) * width, len(langs)), width, order)
 
     def bits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
         """Code lengths (texts, languages) of the byte ranges ``starts[i]:ends[i]`` of ``data`` (in order, without gaps)."""
