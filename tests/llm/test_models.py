@@ -175,6 +175,28 @@ def test_propagation_and_rules(spark, no_docs):
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_propagation_settles_beyond_a_dozen_hosts(spark):
+    chain = [f"h{i}.info" for i in range(17)]
+    links = {(a, b): 1 for a, b in zip(chain, chain[1:], strict=False)} | {("p", "q"): 3, ("q", "p"): 1, ("q", "r"): 1, ("r", "q"): 2}
+    seeds = {chain[0]: url_rules.UNIT, "p": url_rules.UNIT // 2}
+    hosts = [*chain, "p", "q", "r"]
+    step, total = np.zeros((len(hosts), len(hosts))), Counter()
+    for (a, _), n in links.items():
+        total[a] += n
+    for (a, b), n in links.items():
+        step[hosts.index(b), hosts.index(a)] = 0.85 * n / total[a]
+    want = np.linalg.solve(np.eye(len(hosts)) - step, [0.15 * seeds.get(h, 0) for h in hosts])
+    table = spark.createDataFrame([(*k, n) for k, n in links.items()], "src string, dst string, n long")
+    got = {r.host: r.mass for r in url_rules.propagate(spark.createDataFrame(list(seeds.items()), "host string, seed long"), table).collect()}
+    assert all(abs(got[h] - x) <= url_rules.TOLERANCE + 100 for h, x in zip(hosts, want, strict=True))
+
+
+def test_verdicts_along_a_chain_of_hosts(spark):
+    rows = [(0, "http://bad.com/en/1", "")] + [(i, f"http://h{i}.info/", f'<a href="http://{f"h{i - 1}.info" if i > 1 else "bad.com"}/">') for i in range(1, 17)]
+    out = {r.page_id: r.verdict for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: "block" if i == 0 or 0.15 * 0.85**i >= 0.05 else "allow" for i in range(17)}
+
+
 def test_pipeline_stages(spark, odd_rows, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(11)

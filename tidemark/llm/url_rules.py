@@ -2,17 +2,18 @@
 
 Hosts with pages that an allow rule covers are trusted seeds, hosts with pages that a block rule covers are distrusted
 seeds, each by its share of covered pages. Personalised PageRank carries trust along host links; distrust runs along the reversed links, to the hosts
-that link to blocked ones. A host whose distrust reaches ``threshold`` and exceeds its trust is blocked, the rest are
-allowed. All mass is integer (``UNIT`` parts), so results do not depend on the order of additions.
+that link to blocked ones. Both run until no host can gain more than a tolerance. A host whose distrust reaches
+``threshold`` and exceeds its trust is blocked, the rest are allowed. All mass is integer (``UNIT`` parts), so results do not depend on the order of additions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._cut import cut
+from ._cut import cut, discard
 
 UNIT = 1_000_000_000
+TOLERANCE = UNIT // 1_000_000
 #: (verdict, host, path)
 RULES = [
     ("block", "com", "/en/"),
@@ -56,38 +57,45 @@ def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     )
 
 
-def propagate(seeds: DataFrame, links: DataFrame, rounds: int, damping_pct: int = 85) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, rounds: int | None = None, damping_pct: int = 85, tolerance: int = TOLERANCE) -> DataFrame:
     """(host, mass): integer personalised PageRank of ``seeds`` (host, seed) over ``links`` (src, dst, n).
 
-    Stops early at a fixed point. Each round is one join on the source and one pre-aggregated sum per target.
+    The mass starts as the restart share of the seeds and only grows. What all later rounds can still add is at most
+    damping / (1 - damping) times what the last one added to all hosts; the rounds end when that is ``tolerance`` or less, so no
+    host lacks more (besides less than one unit that rounding takes per link and round). With ``rounds``, so many rounds are made from the
+    whole seeds instead, fewer at a fixed point, settled or not. Each round is one join on the source and one pre-aggregated sum per target.
     """
     out = links.groupBy("src").agg(F.sum("n").alias("total"))
     links = cut(links.join(out, "src"), "links")
-    base = seeds.select("host", F.expr(f"seed * {100 - damping_pct} div 100").alias("base"))
-    mass = seeds.select("host", F.col("seed").alias("mass"))
+    base = cut(seeds.select("host", F.expr(f"seed * {100 - damping_pct} div 100").alias("mass")), "mass")
+    mass = base if rounds is None else seeds.select("host", F.col("seed").alias("mass"))
     if links.isEmpty():
-        return base.select("host", F.col("base").alias("mass")) if rounds else mass
-    for _ in range(rounds):
+        return mass if rounds == 0 else base
+    done = 0
+    while rounds is None or done < rounds:
         sent = (
             links.join(mass, links.src == mass.host)
             .select(F.col("dst").alias("host"), F.expr(f"(mass * {damping_pct} div 100) * n div total").alias("mass"))
-            .unionByName(base.select("host", F.col("base").alias("mass")))
+            .unionByName(base)
         )
         new = cut(sent.groupBy("host").agg(F.sum("mass").alias("mass")), "mass")
-        same = new.alias("a").join(mass.alias("b"), "host", "full").filter("not (a.mass <=> b.mass)").isEmpty()
-        mass = new
-        if same:
+        change = F.abs(F.coalesce("a.mass", F.lit(0)) - F.coalesce("b.mass", F.lit(0)))
+        moved = new.alias("a").join(mass.alias("b"), "host", "full").agg(F.coalesce(F.sum(change), F.lit(0))).first()[0]
+        if done:
+            discard(mass)
+        mass, done = new, done + 1
+        if moved == 0 or (rounds is None and moved * damping_pct <= tolerance * (100 - damping_pct)):
             break
     return mass
 
 
 def judge(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES,
-    rounds: int = 12, threshold: int = UNIT // 20,
+    rounds: int | None = None, threshold: int = UNIT // 20, tolerance: int = TOLERANCE,
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict.
 
-    A page under a rule takes that rule's verdict; any other takes its host's. Null or malformed urls have an empty
+    A page under a rule takes that rule's verdict; any other takes its host's, from settled masses (``rounds`` None). Null or malformed urls have an empty
     host, no rule and verdict allow; null html has no links; repeated pages each count; an empty table gives no rows.
     """
     host, path = url_parts(F.col(url_col))
@@ -100,9 +108,9 @@ def judge(
         "hosts",
     )
     links = cut(host_links(pages, url_col, html_col), "host-links")
-    trust = propagate(per_host.filter("good > 0").select("host", F.expr(f"good * {UNIT} div n").alias("seed")), links, rounds)
+    trust = propagate(per_host.filter("good > 0").select("host", F.expr(f"good * {UNIT} div n").alias("seed")), links, rounds, tolerance=tolerance)
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(per_host.filter("bad > 0").select("host", F.expr(f"bad * {UNIT} div n").alias("seed")), back, rounds)
+    distrust = propagate(per_host.filter("bad > 0").select("host", F.expr(f"bad * {UNIT} div n").alias("seed")), back, rounds, tolerance=tolerance)
     scored = (
         per_host.select("host")
         .join(trust.withColumnRenamed("mass", "trust"), "host", "left")
