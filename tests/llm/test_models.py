@@ -112,6 +112,39 @@ def test_decontamination_recall_and_clean_rows(spark, odd_docs, no_docs):
     assert {r.doc_id for r in cgk_decontam.clean(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in found}
 
 
+def _found(index, copies):
+    text, item, edits = index.matches(pa.array([" ".join(w) for _, w in copies]))
+    have = set(zip(text.tolist(), item.tolist(), strict=True))
+    return [(i, k) in have for i, (k, _) in enumerate(copies)]
+
+
+def test_short_items_are_found_whatever_the_edit():
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(500)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in range(1, 24) for _ in range(4)]
+    around = lambda w: ["xx", rng.choice(vocabulary), *w, rng.choice(vocabulary), "yy"]
+    copies = [(k, around(w)) for k, w in enumerate(items)] + [(k, w) for k, w in enumerate(items)]
+    for k, w in enumerate(items):
+        if len(w) >= 5:
+            for at in range(len(w)):
+                copies += [(k, around([*w[:at], *new, *w[at + 1 :]])) for new in ([], ["zzz"], ["zzz", w[at]])]
+            copies += [(k, _edit(w, len(w) // 5, rng)) for _ in range(20)]
+    index = cgk_decontam.CgkIndex(list(enumerate(items)), 20, 0.97)
+    assert all(_found(index, copies))
+
+
+@pytest.mark.parametrize("most, recall", [(24, 0.97), (1, 1.0)])
+def test_long_items_meet_the_recall_at_every_length(most, recall):
+    rng = random.Random(10)
+    vocabulary = [f"v{i}" for i in range(500)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (24, 25, 31, 32, 39, 40, 47, 60, 150) for _ in range(3)]
+    index = cgk_decontam.CgkIndex(list(enumerate(items)), 20, recall, most=most)
+    assert (len(index.exact) == len(items)) == (most == 1)
+    for n in {len(w) for w in items}:
+        found = _found(index, [(k, _edit(w, n // 5, rng)) for k, w in enumerate(items) if len(w) == n for _ in range(200)])
+        assert all(found) if most == 1 else sum(found) >= 0.96 * len(found)
+
+
 def test_ordinal_grades_held_out(spark, odd_docs, odd_rows, no_docs):
     rng = random.Random(7)
     common = [f"w{i}" for i in range(300)]

@@ -4,9 +4,14 @@ Documents and items are sequences of normalised words (lower case, letters and d
 sequence with a pointer: step j puts out the word under the pointer and moves on by a random bit of (j, word), so that a
 small edit distance becomes a small Hamming distance. A repetition draws new bits and samples three places
 of the walk; a window of the text and an item that agree on all of them are a candidate. Windows start at every word; an
-item is embedded from an anchor every four words, so each of its parts gets a chance. The number of repetitions is
-what the items need, under as many random edits as are allowed, to meet ``recall``. Candidates pass a count of the item's words in the window and
-then an exact word edit distance of the item to the best place around the window.
+item is embedded from an anchor every four words and from its last window, so each of its parts gets a chance. The number of repetitions
+is what the items need, under as many random edits as are allowed, to meet ``recall`` at every length.
+
+Items of less than ``SHORT`` words leave no room for spread samples, and some items may not meet ``recall`` in the most repetitions: these are cut
+into one part more than edits are allowed. Some part stays as it is in every copy, so windows that begin with a whole part are all the candidates
+there can be. Such a window is a walk whose pointer always moves, sampled at every place.
+
+Candidates pass a count of the item's words in the window and then an exact word edit distance of the item to the best place around the window.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._words import ragged, slices, tidied, words_of
 
 DROP = re.compile(r"[\W_]+")
-SAMPLES, ANCHOR = 3, 4
+SAMPLES, ANCHOR, SHORT, TRIALS = 3, 4, 24, 1000
 
 
 def normal(word: str) -> str:
@@ -63,33 +68,58 @@ class CgkIndex:
         rng = np.random.default_rng(seed)
         groups: dict[int, list[int]] = {}
         for k, t in enumerate(self.tokens):
-            groups.setdefault(16 if len(t) >= 40 else 12 if len(t) >= 24 else min(8, len(t)), []).append(k)
-        self.runs = []
+            groups.setdefault(0 if len(t) < SHORT else 12 if len(t) < 40 else 16, []).append(k)
+        self.runs, self.exact = [], groups.pop(0, [])
         for steps, members in sorted(groups.items()):
-            anchors = [(k, o) for k in members for o in range(0, len(self.tokens[k]) - steps + 1, ANCHOR)]
-            windows = [self.tokens[k][o : o + steps] for k, o in anchors]
-            trials = self._edited(members, rng)
-            missed = np.ones(len(trials), bool)
-            for _ in range(most):
-                bits = rng.integers(0, 2, (steps, self.pad + 1), np.uint8)
-                bits[:, self.pad] = 0
-                apart = max(1, steps // SAMPLES)  # far enough for the pointer to have moved
-                at = (int(rng.integers(0, apart)) + apart * np.arange(min(SAMPLES, steps))).tolist()
-                levels = self._levels(np.stack(windows), bits, at)
-                run = (steps, bits, at, levels, np.array(anchors, np.int64))
-                self.runs.append(run)
-                for i, (k, flow) in enumerate(trials):
-                    if missed[i]:
-                        ends = np.full(len(flow), len(flow))
-                        _, which = self._hits(np.append(flow, self.pad), np.arange(len(flow)), ends, run)
-                        missed[i] = not (run[4][which, 0] == k).any()
-                if 1 - missed.mean() >= recall:
-                    break
+            runs = self._sampled(steps, members, recall, most, rng)
+            if runs is None:
+                self.exact += members
+            else:
+                self.runs += runs
+        self.runs += self._whole_parts(self.exact)
+
+    def _sampled(self, steps: int, members: list[int], recall: float, most: int, rng) -> list | None:
+        """Repetitions until randomly edited items of every length are found by two standard errors more than ``recall``; None if ``most`` do not do."""
+        anchors = [(k, o) for k in members for o in sorted({*range(0, len(self.tokens[k]) - steps + 1, ANCHOR), len(self.tokens[k]) - steps})]
+        windows = np.stack([self.tokens[k][o : o + steps] for k, o in anchors])
+        lengths: dict[int, list[int]] = {}
+        for k in members:
+            lengths.setdefault(min(6, len(self.tokens[k]) // 8), []).append(k)
+        trials = [t for some in lengths.values() for t in self._edited(some, rng)]
+        missed, runs = np.ones(len(trials), bool), []
+        need = recall + 2 * (recall * (1 - recall) / TRIALS) ** 0.5
+        for _ in range(most):
+            bits = rng.integers(0, 2, (steps, self.pad + 1), np.uint8)
+            bits[:, self.pad] = 0
+            apart = steps // SAMPLES  # far enough for the pointer to have moved
+            at = (int(rng.integers(0, apart)) + apart * np.arange(SAMPLES)).tolist()
+            runs.append((steps, bits, at, self._levels(windows, bits, at), np.array(anchors, np.int64)))
+            missed &= self._missed(trials, runs[-1])
+            if (1 - missed.reshape(-1, TRIALS).mean(1) >= min(need, 1)).all():
+                return runs
+        return None
+
+    def _whole_parts(self, members: list[int]) -> list:
+        """A run for each length of the parts of ``members``."""
+        parts: dict[int, list[tuple[int, int]]] = {}
+        for k in members:
+            m = len(self.tokens[k])
+            n = min(m, edits_allowed(m, self.pct) + 1)
+            for i in range(n):
+                parts.setdefault(m * (i + 1) // n - m * i // n, []).append((k, m * i // n))
+        runs = []
+        for size, anchors in sorted(parts.items()):
+            bits = np.ones((size, self.pad + 1), np.uint8)
+            bits[:, self.pad] = 0
+            at = list(range(size))
+            levels = self._levels(np.stack([self.tokens[k][o : o + size] for k, o in anchors]), bits, at)
+            runs.append((size, bits, at, levels, np.array(anchors, np.int64)))
+        return runs
 
     def _edited(self, members: list[int], rng) -> list[tuple[int, np.ndarray]]:
-        """Items with as many random word edits as are allowed (each a deletion, insertion or replacement)."""
+        """TRIALS items with as many random word edits as are allowed (each a deletion, insertion or replacement)."""
         out = []
-        for k in [int(x) for x in rng.choice(members, min(60, len(members)), replace=False)]:
+        for k in rng.choice(members, TRIALS).tolist():
             flow = self.tokens[k].tolist()
             for _ in range(edits_allowed(len(flow), self.pct)):
                 at, kind = int(rng.integers(0, len(flow))), int(rng.integers(0, 3))
@@ -97,6 +127,23 @@ class CgkIndex:
             out.append((k, np.array(flow, np.int32)))
         return out
 
+    def _missed(self, trials: list[tuple[int, np.ndarray]], run) -> np.ndarray:
+        """Which edited items get no candidate whose region holds all of them."""
+        sizes = np.array([len(flow) for _, flow in trials])
+        item = np.array([k for k, _ in trials])
+        m = np.array([len(self.tokens[k]) for k in item])
+        e = edits_allowed(m, self.pct)
+        trial = np.repeat(np.arange(len(trials)), sizes)
+        first = np.cumsum(sizes + 1) - sizes - 1
+        starts = np.arange(len(trial)) + trial
+        index, which = self._hits(np.concatenate([np.append(flow, self.pad) for _, flow in trials]), starts, (first + sizes)[trial], run)
+        on, anchor = trial[index], run[4][which]
+        base = starts[index] - first[on] - anchor[:, 1]
+        right = (anchor[:, 0] == item[on]) & (base <= e[on]) & (base + m[on] + e[on] >= sizes[on])
+        missed = np.ones(len(trials), bool)
+        missed[on[right]] = False
+        return missed
+
     def _walk(self, flow, at, ends, bits, first, last):
         """Pointers after steps first..last-1 of the walk."""
         for j in range(first, last):
@@ -182,7 +229,8 @@ def find(
 ) -> DataFrame:
     """(doc_id, item_id, edits, item_words): documents that hold an item within pct percent of its words in edits.
 
-    ``edits`` is the least found. The benchmark is the query set: it is read in blocks of ``block`` items, each against all documents. Null
+    ``edits`` is the least found; all documents with an item of less than SHORT words are found, others with probability ``recall``
+    at least, as measured on random edits, or certainly where repetitions do not do. The benchmark is the query set: it is read in blocks of ``block`` items, each against all documents. Null
     or wordless texts and items match nothing; repeated rows give one row; an empty side gives no rows; other
     columns are ignored.
     """
