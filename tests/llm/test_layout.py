@@ -74,6 +74,23 @@ def test_token_output_equals_the_library(odd_docs, odd_rows, no_docs):
     assert token_planes.encode(no_docs, PATH).count() == 0
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_special_tokens_in_texts_as_the_library_has_them(spark, special_as_text):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = special_as_text
+    start, stop = "<|startoftext|>", "<|endoftext|>"
+    texts = [f"{start}One two.{stop}", f"a {stop} b", f"A{stop}, B!{start}{stop}x.", "<|EndOfText|> <|endoftext |>", f"é{stop}\u0301 'S{start}'s", f"{stop}|>", None, "plain Text."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_planes.encode(docs, PATH, special_as_text=special_as_text).collect()}
+    at = 0
+    for i, text in enumerate(texts):
+        ids = np.array(library.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        assert got[i] == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def test_shards_are_even_and_slots_gapless(odd_docs, odd_rows, no_docs):
     rows = kd_shards.by_metadata(odd_docs).collect()
     assert len(rows) == len(odd_rows) and {r.law for r in rows} == {"bytes"}

@@ -167,15 +167,17 @@ class WordEncoder:
 
     The vocabulary's word pattern and normaliser never reach across white space, so a text's ids are those of its words in a
     row. A word is kept in a bounded memory; closing ASCII marks after a letter or digit are pieces of their own and are
-    looked up apart. Strings of special tokens in a text are ordinary text.
+    looked up apart. Strings of special tokens in a text become these tokens, as the library does by default (they hold no
+    white space; a word that may hold one is looked up whole and as it is written), or are ordinary text with ``special_as_text``.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 500_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most, self.known = most, {"": b""}
 
     def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -194,9 +196,13 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end: int | None = 1) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) of the texts one after another, each closed by ``end``."""
         codes, offsets, words = words_of(texts)
-        words = pc.ascii_lower(words)
+        whole, written, words = pa.array(np.zeros(len(words), bool)), words, pc.ascii_lower(words)
+        for token in self.special:
+            whole = pc.or_(whole, pc.match_substring(words, pc.ascii_lower(token).as_py()))
         stem = pc.utf8_rtrim(words, TAIL)
         split = pc.match_substring_regex(stem, ENDS_IN_LETTER)
+        if whole.true_count:
+            words, split = pc.if_else(whole, written, words), pc.and_not(split, whole)
         stem = pc.if_else(split, stem, words)
         tail = _tails(words, stem)
         stems, tails = stem.dictionary_encode(), tail.dictionary_encode()
@@ -228,20 +234,21 @@ def _tails(words: pa.Array, stems: pa.Array) -> pa.Array:
     return pa.StringArray.from_buffers(len(words), pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes()))
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def _encoder(path: str, special_as_text: bool = False) -> WordEncoder:
+    key = path, special_as_text
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(path, special_as_text=special_as_text)
+    return _encoders[key]
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = 1, block: int = 1 << 16, kind: int = 8) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = 1, block: int = 1 << 16, kind: int = 8, special_as_text: bool = False) -> DataFrame:
     """Token files of ``docs`` in ascending id order; returns the manifest (part, path, docs, ids), one row a file.
 
     Null text is the empty text, which still has its end id; null ids come last; rows that share an id are ordered
-    by a hash of their text; an empty table writes nothing. A file is complete when the manifest names it: a failed
+    by a hash of their text; an empty table writes nothing. Strings of special tokens are tokens unless ``special_as_text``. A file is complete when the manifest names it: a failed
     task's file keeps a name of its own that no manifest has.
     """
     if folder is None:
@@ -256,7 +263,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: st
 
         part = TaskContext.get().partitionId()
         path, writer, out = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex}.planes", None, None
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, special_as_text)
         n_ids = n_docs = 0
         for batch in batches:
             for rows in slices(batch, "text"):
