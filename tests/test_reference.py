@@ -229,3 +229,16 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     got = {(r.k, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r.k, r.n) for r in polls.first_seen_batch(rows, "k", "n").collect()}
+
+
+def test_product_fails_beyond_its_bound_and_cuts_nothing(spark, tmp_path):
+    from tidemark.plans import catalog
+
+    query = catalog.queries()["theta_link_decision"]
+    nations = lambda n, to: spark.range(n).selectExpr("id AS n_nationkey", "concat('N', id) AS n_name", "id % 5 AS n_regionkey").write.parquet(f"{to}/nation.parquet")
+    for name, n in (("full", 100), ("over", 101)):
+        spark.range(5).selectExpr("id AS r_regionkey", "concat('R', id) AS r_name").write.parquet(f"{tmp_path / name}/region.parquet")
+        nations(n, tmp_path / name)
+    assert query(spark, str(tmp_path / "full")).count() == 500
+    with pytest.raises(ValueError, match="nation has 101 rows"):
+        query(spark, str(tmp_path / "over"))

@@ -29,6 +29,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _bounded(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """``rows``, all of them; an error if there are more than ``most``."""
+    if (n := rows.count()) > most:
+        raise ValueError(f"{name} has {n} rows, the product takes {most} at most")
+    return rows
+
+
 def _ntz(value: str) -> Column:
     return F.lit(value).cast("timestamp_ntz")
 
@@ -344,7 +351,7 @@ def pair_comparable(spark, sf_dir):
 
 @_query("""SELECT r_regionkey AS region, n_nationkey AS nation, CASE WHEN r_regionkey <> n_regionkey THEN 'NO_MATCH' WHEN substr(n_name, 1, 1) = substr(r_name, 1, 1) THEN 'LINKED' WHEN length(n_name) > 8 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'AMBIGUOUS' END AS link_status FROM region, nation""")
 def theta_link_decision(spark, sf_dir):
-    region, nation = _read(spark, sf_dir, "region").limit(100), _read(spark, sf_dir, "nation").limit(100)
+    region, nation = (_bounded(_read(spark, sf_dir, name), name, 100) for name in ("region", "nation"))
     pairs = region.crossJoin(F.broadcast(nation))  # two bounded registries, a hundred rows each at most
     first = lambda c: F.substring(c, 1, 1)
     status = (
