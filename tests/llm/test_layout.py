@@ -55,6 +55,19 @@ def test_word_lookup_equals_the_library(texts):
     assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
 
 
+def test_bounded_memory_and_other_vocabularies_equal_the_library():
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdé1.,") for _ in range(rng.randint(1, 7))) for _ in range(60)) for _ in range(30)] + [None, "", "<|endoftext|>."]
+    for path, wordwise in ((PATH, True), (public_tokenizers.path("byte_bpe_50k.json"), False)):
+        encoder = token_planes.TextEncoder(path, most=40)
+        assert encoder.wordwise == wordwise
+        for at in range(0, len(texts), 5):
+            some = texts[at : at + 5]
+            ids, lengths = encoder.encode(pa.array(some, pa.string()))
+            want = [e.ids + [1] for e in encoder.tokenizer.encode_batch([t or "" for t in some], add_special_tokens=False)]
+            assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+
+
 def test_token_output_equals_the_library(odd_docs, odd_rows, no_docs):
     tokenizer = token_planes._encoder(PATH).tokenizer
     got = token_planes.encode(odd_docs.repartition(4), PATH).orderBy("start").collect()

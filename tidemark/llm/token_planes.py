@@ -74,6 +74,14 @@ def _make_dir(path: str) -> None:
         store.create_dir(inner)
 
 
+def _delete_file(path: str) -> None:
+    if path.startswith("file:") or "://" not in path:
+        os.remove("/" + path[5:].lstrip("/") if path.startswith("file:") else path)
+    else:
+        store, inner = pa.fs.FileSystem.from_uri(path)
+        store.delete_file(inner)
+
+
 class PlaneWriter:
     """Writes one file; ``close`` writes the document table and the chunk index."""
 
@@ -162,13 +170,69 @@ class PlaneReader:
             held = held[n:]
 
 
-class WordEncoder:
-    """Ids of whole texts from the tokenizers library, looked up word by word.
+#: The normaliser and the word pattern under which a text's ids are those of its words in a row.
+WORDWISE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+class _Memory:
+    """Ids of distinct strings, kept as columns: ``flat[ends[i]:ends[i + 1]]`` are those of string i.
+
+    Beyond ``most`` strings the older half stays: frequent words come early.
+    """
 
-    The vocabulary's word pattern and normaliser never reach across white space, so a text's ids are those of its words in a
-    row. A word is kept in a bounded memory; closing ASCII marks after a letter or digit are pieces of their own and are
-    looked up apart. Strings of special tokens in a text become these tokens, as the library does by default (they hold no
-    white space; a word that may hold one is looked up whole and as it is written), or are ordinary text with ``special_as_text``.
+    def __init__(self, encode, most: int):
+        self.encode, self.most = encode, most
+        self.words, self.flat, self.ends = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def find(self, items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(start in ``flat``, number of ids) of each of the distinct ``items``; unknown ones are encoded first."""
+        if len(self.words) > self.most:
+            self.words = pa.concat_arrays([self.words.slice(0, self.most // 2)])
+            self.ends = self.ends[: len(self.words) + 1]
+            self.flat = self.flat[: self.ends[-1]].copy()
+        at = pc.index_in(items, value_set=self.words)
+        unknown = pc.is_null(at).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        if unknown.any():
+            new = items.filter(pa.array(unknown))
+            at[unknown] = len(self.words) + np.arange(len(new))
+            parts, counts = [self.flat], []
+            for start in range(0, len(new), 4096):
+                for got in self.encode(new.slice(start, 4096).to_pylist()):
+                    ids = got.ids
+                    counts.append(len(ids))
+                    parts.append(np.array(ids, np.uint32))
+            self.words = pa.concat_arrays([self.words, new])
+            self.flat = np.concatenate(parts)
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(counts)))
+        return self.ends[at], self.ends[at + 1] - self.ends[at]
+
+
+class TextEncoder:
+    """Ids of whole texts, as the tokenizers library's plain call with add_special_tokens=False gives them.
+
+    Where the file's normaliser and pattern are those of ``WORDWISE``, nothing reaches across white space, so a text's ids
+    are those of its words in a row: the library encodes each distinct word once and a bounded memory keeps its ids; closing
+    ASCII marks after a letter or digit are pieces of their own and are looked up apart. Any other file's texts go to
+    the library whole. Strings of special tokens in a text become these tokens, as the library does by default (a word that
+    may hold one is looked up whole and as it is written), or are ordinary text with ``special_as_text``.
     """
 
     def __init__(self, path: str, most: int = 500_000, special_as_text: bool = False):
@@ -177,24 +241,27 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most, self.known = most, {"": b""}
-
-    def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of distinct strings and the number of ids of each."""
-        items, known = words.to_pylist(), self.known
-        if len(known) > self.most:
-            known.clear()
-        new = [w for w in items if w not in known]
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        found = [known[w] for w in items]
-        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.special = [] if special_as_text else [t.content for t in added]
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        plain = all(t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized or any(c.isspace() for c in t.content)) for t in added)
+        self.wordwise = plain and all(described.get(k) == v for k, v in WORDWISE.items())
+        encode = lambda words: self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        self.stems, self.tails = _Memory(encode, most), _Memory(encode, most)
 
     def encode(self, texts: pa.Array, end: int | None = 1) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) of the texts one after another, each closed by ``end``."""
+        return self._by_word(texts, end) if self.wordwise else self._whole(texts, end)
+
+    def _whole(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        last = [] if end is None else [end]
+        parts = [np.array(got.ids + last, np.uint32) for got in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array([len(x) for x in parts], np.int64)
+
+    def _by_word(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         codes, offsets, words = words_of(texts)
         whole, written, words = pa.array(np.zeros(len(words), bool)), words, pc.ascii_lower(words)
         for token in self.special:
@@ -206,11 +273,11 @@ class WordEncoder:
         stem = pc.if_else(split, stem, words)
         tail = _tails(words, stem)
         stems, tails = stem.dictionary_encode(), tail.dictionary_encode()
-        stem_ids, stem_n = self._parts(stems.dictionary)
-        tail_ids, tail_n = self._parts(tails.dictionary)
+        stem_at, stem_n = self.stems.find(stems.dictionary)
+        tail_at, tail_n = self.tails.find(tails.dictionary)
+        flat = np.concatenate((self.stems.flat, self.tails.flat, np.array([end or 0], np.uint32)))
+        tail_at = tail_at + len(self.stems.flat)
         s, t = stems.indices.to_numpy(), tails.indices.to_numpy()
-        flat = np.concatenate((stem_ids, tail_ids, np.array([end or 0], np.uint32)))
-        stem_at, tail_at = np.cumsum(stem_n) - stem_n, np.cumsum(tail_n) - tail_n + len(stem_ids)
         starts = np.stack((stem_at[s][codes], tail_at[t][codes]), 1).ravel()
         counts = np.stack((stem_n[s][codes], tail_n[t][codes]), 1).ravel()
         total = np.concatenate(([0], np.cumsum(counts)))[2 * offsets]
@@ -234,13 +301,14 @@ def _tails(words: pa.Array, stems: pa.Array) -> pa.Array:
     return pa.StringArray.from_buffers(len(words), pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes()))
 
 
-_encoders: dict[tuple[str, bool], WordEncoder] = {}
+_encoders: dict[tuple[str, bool], TextEncoder] = {}
 
 
-def _encoder(path: str, special_as_text: bool = False) -> WordEncoder:
+def _encoder(path: str, special_as_text: bool = False) -> TextEncoder:
+    """The worker's encoder of this file, with its memory of words, for as long as the worker lives."""
     key = path, special_as_text
     if key not in _encoders:
-        _encoders[key] = WordEncoder(path, special_as_text=special_as_text)
+        _encoders[key] = TextEncoder(path, special_as_text=special_as_text)
     return _encoders[key]
 
 
@@ -248,8 +316,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: st
     """Token files of ``docs`` in ascending id order; returns the manifest (part, path, docs, ids), one row a file.
 
     Null text is the empty text, which still has its end id; null ids come last; rows that share an id are ordered
-    by a hash of their text; an empty table writes nothing. Strings of special tokens are tokens unless ``special_as_text``. A file is complete when the manifest names it: a failed
-    task's file keeps a name of its own that no manifest has.
+    by a hash of their text; an empty table writes nothing. Very long texts are encoded whole; other columns are ignored.
+    Strings of special tokens are tokens unless ``special_as_text``. A file is complete when the manifest names it: a failed
+    task deletes its file where it can, and a lost one's keeps a name of its own that no manifest has.
     """
     if folder is None:
         note(folder := fresh_path(docs.sparkSession, "token-planes"))
@@ -265,18 +334,24 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: st
         path, writer, out = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex}.planes", None, None
         encoder = _encoder(tokenizer, special_as_text)
         n_ids = n_docs = 0
-        for batch in batches:
-            for rows in slices(batch, "text"):
-                ids, lengths = encoder.encode(rows.column("text"), end)
-                if writer is None:
-                    out = _open(path, "wb")
-                    writer = PlaneWriter(out, block, kind)
-                writer.add(rows.column("id").to_pylist(), lengths, ids)
-                n_ids, n_docs = n_ids + len(ids), n_docs + len(lengths)
+        try:
+            for batch in batches:
+                for rows in slices(batch, "text"):
+                    ids, lengths = encoder.encode(rows.column("text"), end)
+                    if writer is None:
+                        out = _open(path, "wb")
+                        writer = PlaneWriter(out, block, kind)
+                    writer.add(rows.column("id").to_pylist(), lengths, ids)
+                    n_ids, n_docs = n_ids + len(ids), n_docs + len(lengths)
+            if writer:
+                writer.close()
+                out.close()
+        except BaseException:
+            if out:
+                out.close()
+                _delete_file(path)
+            raise
         if writer:
-            writer.close()
-            out.close()
-            encoder.known.clear()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "docs": [n_docs], "ids": [n_ids]})
 
     return cut(ordered.mapInArrow(tidied(put), "part long, path string, docs long, ids long"), "token-manifest")
@@ -309,5 +384,5 @@ def read(manifest: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
-    """``write`` and ``read`` in a row: one row per document, read back from the files."""
+    """``write`` and ``read`` in a row: one row per document, read back from the files (all cases as in ``write``)."""
     return read(write(docs, tokenizer, **options))
