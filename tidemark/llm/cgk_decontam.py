@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._words import ragged, slices, tidied, words_of
 
@@ -261,7 +262,7 @@ def find(
                         names=[id_col, "item_id", "edits", "item_words"],
                     )
 
-        piece_type = {"bigint": pa.int64(), "int": pa.int32()}.get(benchmark.schema[item_col].dataType.simpleString(), pa.string())
+        piece_type = to_arrow_type(benchmark.schema[item_col].dataType)
         some = docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(tidied(run), schema)
         result = some if result is None else result.unionByName(some)
         after += block

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._cut import cut
+from ._names import unused
 from ._prefix import running_total
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,16 +82,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, in no order; a row that repeats counts as often as it stands there."""
+    """The rows of ``docs`` as often as the mix takes them, in no order; a row that repeats counts as often as it stands there.
+
+    All other cases are as in ``mix``; every column passes through, whatever its name. Rows of one id with equal texts
+    are copies of one row: as many of them as the mix takes come out, alike.
+    """
     names, text = docs.columns, options.get("text_col", "text")
-    key = F.struct(F.col(id_col), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("version"))
-    rows = docs.withColumn("mix_key", key)
-    passes = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    wanted = mix(rows.withColumn(id_col, F.col("mix_key")), id_col=id_col, **options)
-    wanted = wanted.groupBy(F.col(id_col).alias("mix_key")).agg(F.sum(passes).alias("passes"), F.count("*").alias("copies")).filter("passes > 0")
+    key, turn, passes, copies = unused(names, "mix_key", "mix_turn", "mix_passes", "mix_copies")
+    rows = docs.withColumn(key, F.struct(F.col(id_col), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("version")))
+    often = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    wanted = mix(rows.withColumn(id_col, F.col(key)), id_col=id_col, **options)
+    wanted = wanted.groupBy(F.col(id_col).alias(key)).agg(F.sum(often).alias(passes), F.count("*").alias(copies)).filter(F.col(passes) > 0)
     wanted = cut(wanted, "mix-passes")
-    repeated = wanted.filter("copies > 1")
-    once = rows.join(wanted.filter("copies = 1"), "mix_key")
+    repeated = wanted.filter(F.col(copies) > 1)
+    once = rows.join(wanted.filter(F.col(copies) == 1), key)
     if not repeated.isEmpty():
-        once = once.unionByName(rows.join(repeated, "mix_key").dropDuplicates(["mix_key"]))
-    return once.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*names)
+        once = once.unionByName(rows.join(repeated, key).dropDuplicates([key]))
+    return once.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(passes)))).select(*names)

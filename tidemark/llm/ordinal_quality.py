@@ -158,10 +158,11 @@ def fit(docs: DataFrame, ratings: DataFrame, levels: int = 3, per_grade: int = 3
 def score(docs: DataFrame, model: OrdinalModel, levels: int = 3, text_col: str = "text") -> DataFrame:
     """``docs`` with expected_grade, tails (array of P(grade >= k)).
 
-    Null text is the empty text; repeated rows and very long texts score like any other; extra columns pass through;
-    an empty table gives no rows.
+    Null text is the empty text; repeated rows and very long texts score like any other; extra columns pass through,
+    but columns named like the two new ones give way to them; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE weights
+    docs = docs.select(*[c for c in docs.columns if c == text_col or c.lower() not in ("expected_grade", "tails")])
     names = docs.schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +179,8 @@ def score(docs: DataFrame, model: OrdinalModel, levels: int = 3, text_col: str =
 def classify(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5) -> DataFrame:
     """One row per document: doc_id, expected_grade (0 to 2), p_not_toxic, p_good, toxic, keep.
 
-    ``toxic``: P(grade >= 1) below one half; ``keep``: P(grade >= 2) of ``keep_from`` or more.
+    ``toxic``: P(grade >= 1) below one half; ``keep``: P(grade >= 2) of ``keep_from`` or more. Null, empty and very long
+    texts, ties, repeated rows and empty tables as in ``fit`` and ``score``; other columns of both tables are ignored.
     """
     model = fit(docs, labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")))
     out = score(docs.select("doc_id", "text"), model)

@@ -3,7 +3,7 @@
 Each language has a tree of byte contexts up to ``order`` bytes, with symbol counts of a bounded sample of its documents. A byte
 costs the code length of its count in the longest known context, or of an escape (method C: distinct symbols over
 distinct symbols plus count) and then its cost in the next shorter one, down to eight bits; statistics stay frozen while
-scoring. The trees of all languages are compiled into one table of (context, byte, language) costs of bounded size.
+scoring. The trees of all languages are compiled into one table of (context, byte, language) costs; the sample's bounds bound it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ._names import unused
 from ._sample import bounded_ids
 from ._words import slices, tidied
 
@@ -26,10 +27,21 @@ class PpmModel:
 
     def __init__(self, langs: list[str], symbol: np.ndarray, state: np.ndarray, cost: np.ndarray, width: int, order: int):
         self.langs, self.symbol, self.state, self.cost, self.width, self.order = langs, symbol, state, cost, width, order
+        self.typical = np.full(len(langs), 8.0)
 
     @classmethod
-    def fit(cls, texts: dict[str, list[bytes]], order: int = 3, table_mb: int = 48) -> PpmModel:
-        """``table_mb`` bounds the cost table: the rarest contexts are left to their shorter ones."""
+    def fit(cls, texts: dict[str, list[bytes]], order: int = 3) -> PpmModel:
+        """All contexts of ``texts`` with their frozen counts, and each language's typical bits a byte in its own texts."""
+        model = cls._compiled(texts, order)
+        for i, lang in enumerate(model.langs):
+            data = np.frombuffer(b"".join(texts[lang]), np.uint8)
+            if len(data):
+                ends = np.cumsum([len(t) for t in texts[lang]])
+                model.typical[i] = model.bits(data, np.concatenate(([0], ends[:-1])), ends)[:, i].sum() / len(data)
+        return model
+
+    @classmethod
+    def _compiled(cls, texts: dict[str, list[bytes]], order: int) -> PpmModel:
         langs = sorted(texts)
         seen = np.zeros(256, bool)
         for lang in langs:
@@ -55,18 +67,9 @@ class PpmModel:
                     key = key + flow[at - k] * width ** k
                 per.append(np.unique(key, return_counts=True))
             grams.append(per)
-        room = max(1, table_mb * (1 << 20) // (4 * width * max(1, len(langs))))
         kept = [np.zeros(1, np.int64)]
-        totals = []
         for k in range(1, order + 1):
-            keys = np.concatenate([g[k][0] // width for g in grams]) if grams else np.zeros(0, np.int64)
-            counts = np.concatenate([g[k][1] for g in grams]) if grams else np.zeros(0, np.int64)
-            contexts, inverse = np.unique(keys, return_inverse=True)
-            totals.append((contexts, np.bincount(inverse, counts, len(contexts))))
-        sizes = np.sort(np.concatenate([t for _, t in totals])) if totals else np.zeros(0)
-        least = sizes[-room] if len(sizes) > room else 0  # a context's suffix is never rarer, so what stays is closed under suffixes
-        for contexts, n in totals:
-            kept.append(contexts[n > least] if least else contexts)
+            kept.append(np.unique(np.concatenate([g[k][0] // width for g in grams])) if grams else np.zeros(0, np.int64))
         costs = [np.full((1, width, len(langs)), 8.0, np.float32)]
         for k in range(order + 1):
             contexts = kept[k]
@@ -127,34 +130,46 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(F.rlike(text, F.lit(r"\p{L}")), F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = 200, order: int = 3, table_mb: int = 48, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PpmModel:
-    """A model of the labelled documents ``docs``, from whole texts of about ``per_lang`` of each language."""
-    labelled = docs.filter(F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
-    some = bounded_ids(labelled.select(id_col, lang_col), lang_col, id_col, per_lang).select(id_col).distinct()
-    picked = labelled.join(F.broadcast(some), id_col, "left_semi")  # at most per_lang ids a language
+def fit(
+    docs: DataFrame, per_lang: int = 200, text_bytes: int = 1 << 20, order: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> PpmModel:
+    """A model of the labelled documents ``docs``, from whole texts of about ``per_lang`` of each language.
+
+    These two parameters bound the sample: texts of more than ``text_bytes`` are not learned from, nor are null, empty and letterless ones and
+    those of a null language. Rows that repeat an id and text count once. Without a labelled text the model has no language.
+    """
+    body = F.lower(text_col)
+    labelled = docs.filter(F.col(lang_col).isNotNull() & has_letter(F.col(text_col)) & (F.octet_length(body) <= text_bytes))
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    some = bounded_ids(labelled.select(row.alias("row"), F.col(lang_col).alias("lang")).distinct(), "lang", "row", per_lang).select("row").distinct()
+    picked = labelled.select(row.alias("row"), F.col(lang_col).alias("lang"), body.alias("body"))
+    picked = picked.join(F.broadcast(some), "row", "left_semi").distinct()  # about per_lang rows a language
     texts: dict[str, list[bytes]] = {}
-    for row in picked.select(lang_col, F.lower(text_col).alias("body")).collect():  # the bounded sample
-        texts.setdefault(row[lang_col], []).append(row["body"].encode())
-    return PpmModel.fit({k: sorted(v) for k, v in texts.items()}, order, table_mb)
+    for found in picked.select("lang", "body").collect():  # the bounded sample
+        texts.setdefault(found["lang"], []).append(found["body"].encode())
+    return PpmModel.fit({k: sorted(v) for k, v in texts.items()}, order)
 
 
-def predict(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: PpmModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1) from the text alone.
 
     ``und`` with score 0: null, empty or letterless text, or a model without languages. The score is the best
-    language's share of two to the minus code length. Equal code lengths go to the first language by name. Repeated
-    rows and very long texts are scored like any other; extra columns pass through.
+    language's share of two to the minus code length, halved for every bit a byte that the text costs beyond what is typical of
+    that language. Equal code lengths go to the first language by name. Repeated
+    rows and very long texts are scored like any other; extra columns pass through, but columns named like the two new ones give way to them.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's table_mb
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    docs = docs.select(*[c for c in docs.columns if c == text_col or c.lower() not in (lang_out.lower(), score_out.lower())])
     names = docs.schema.names
-    asked = docs.withColumn("ppm_body", F.when(has_letter(F.col(text_col)), F.lower(text_col)))
+    (asked_col,) = unused(names, "ppm_body")
+    asked = docs.withColumn(asked_col, F.when(has_letter(F.col(text_col)), F.lower(text_col)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm = shared.value
         langs = np.array([*ppm.langs, "und"], object)
         for batch in batches:
-            for rows in slices(batch, "ppm_body", 4 << 20):
-                body = rows.column("ppm_body")
+            for rows in slices(batch, asked_col, 4 << 20):
+                body = rows.column(asked_col)
                 valid = pc.is_valid(body).to_numpy(zero_copy_only=False)
                 if not ppm.langs:
                     valid = np.zeros(len(body), bool)
@@ -165,13 +180,16 @@ def predict(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFra
                 if valid.any():
                     bits = ppm.bits(data, np.concatenate(([0], ends[:-1])), ends)
                     found = bits.argmin(1)
-                    share = 1.0 / np.exp2(np.maximum(-1000.0, -(bits - bits.min(1, keepdims=True)))).sum(1)
+                    least = bits.min(1)
+                    share = 1.0 / np.exp2(np.maximum(-1000.0, least[:, None] - bits)).sum(1)
+                    size = np.maximum(1, np.diff(np.concatenate(([0], ends))))
+                    share *= np.exp2(-np.maximum(0.0, least / size - ppm.typical[found]))
                     best[valid], sure[valid] = found[valid], share[valid]
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(n) for n in names), pa.array(langs[best], pa.string()), pa.array(sure)], names=[*names, "lang_pred", "score"]
+                    [*(rows.column(n) for n in names), pa.array(langs[best], pa.string()), pa.array(sure)], names=[*names, lang_out, score_out]
                 )
 
-    out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     return asked.mapInArrow(tidied(score), out)
 
 
@@ -181,6 +199,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score; learned from the other folds of the same table."""
+    """One row per document: doc_id, held_out, lang_pred, score; learned from the other folds of the same table.
+
+    All cases are as in ``fit`` and ``predict``; a null id is in no held-out fold; other columns are ignored.
+    """
     model = fit(docs.filter(~held_out()), **options)
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
