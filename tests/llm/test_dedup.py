@@ -84,11 +84,49 @@ def test_ngram_join_chains_and_borderline_pairs(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == _brute_components(rows)
 
 
-@pytest.mark.parametrize("most_in_task", [0, 1000])
-def test_components_of_a_path_and_a_star(spark, most_in_task):
-    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 299)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), most_in_task=most_in_task).collect()}
-    assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30)) and got[300] == 299
+@pytest.mark.parametrize("per_task", [25, 1000])
+def test_components_of_a_path_and_a_star(spark, per_task):
+    rng = random.Random(2)
+    path = list(range(0, 301))
+    rng.shuffle(path[1:])
+    edges = [(a, b) for a, b in zip(path, path[1:], strict=False)] + [(1000, 1000 + i) for i in range(1, 60)] + [(7, 7), (3000, 2999), (5, 4)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), per_task=per_task).collect()}
+    assert all(got[i] == 0 for i in path) and all(got[1000 + i] == 1000 for i in range(60)) and got[3000] == 2999 and len(got) == 301 + 60 + 2
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bitmap_lets_every_key_through(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
+    from tidemark.llm._bitmap import within
+
+    rows = spark.range(50_000).select("id", F.xxhash64("id").alias("key"))
+    passed = rows.filter(within(keys, "key")(F.col("key")))
+    assert passed.filter("id < 5000").count() == 5000 and passed.count() < 5000 + 0.2 * 45_000
+
+
+def test_ngram_join_of_unlinked_rows_of_one_template(spark):
+    """Rows that share 20 words and link with none never meet one by one: pairs are ruled out by their profiles."""
+    rows = [(i, " ".join([f"t{j}" for j in range(20)] + [f"own{i}x{j}" for j in range(3)])) for i in range(3000)]
+    rows += [(5000 + i, rows[i][1] + " end") for i in range(3)]
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[5000 + i] == i for i in range(3)) and all(got[i] == i for i in range(3000))
+
+
+def test_ngram_join_in_blocks(spark, monkeypatch):
+    """Many classes of one shingle in different components, in blocks of few classes."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, shared = [], [word() for _ in range(30)]
+    for i in range(60):
+        text = list(shared)
+        for at in rng.sample(range(30), rng.choice([1, 1, 2])):
+            text[at] = word()
+        rows.append((i, " ".join(text)))
+    want = _brute_components(rows)
+    for stars in (0, 1, 2):
+        monkeypatch.setattr(ngram_join._across, "__defaults__", (4,))
+        got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), stars=stars).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
 def _brute_lines(rows, least):
