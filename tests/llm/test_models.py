@@ -224,6 +224,13 @@ def test_propagation_settles_beyond_a_dozen_hosts(spark):
     assert all(abs(got[h] - x) <= url_rules.TOLERANCE + 100 for h, x in zip(hosts, want, strict=True))
 
 
+def test_large_masses_do_not_overflow(spark):
+    seeds = spark.createDataFrame([("a", 10**16)], "host string, seed long")
+    links = spark.createDataFrame([("a", "b", 4 * 10**9), ("a", "c", 10**9)], "src string, dst string, n long")
+    got = {r.host: r.mass for r in url_rules.propagate(seeds, links).collect()}
+    assert got == {"a": 15 * 10**14, "b": 15 * 10**14 * 85 // 100 * 4 // 5, "c": 15 * 10**14 * 85 // 100 // 5}
+
+
 def test_verdicts_along_a_chain_of_hosts(spark):
     rows = [(0, "http://bad.com/en/1", "")] + [(i, f"http://h{i}.info/", f'<a href="http://{f"h{i - 1}.info" if i > 1 else "bad.com"}/">') for i in range(1, 17)]
     out = {r.page_id: r.verdict for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

@@ -133,7 +133,7 @@ judged AS (SELECT * FROM hits WHERE best = 1),
 hosts AS (
   SELECT host, count(*) AS n, count(*) FILTER (WHERE verdict = 'allow') AS good, count(*) FILTER (WHERE verdict = 'block') AS bad
   FROM judged WHERE host <> '' GROUP BY host),
-hrefs AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?((?:[a-z][a-z0-9+.\-]*:)?//[^\s"''<>]+)', 1)) AS link FROM judged),
+hrefs AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?((?:[a-z][a-z0-9+.\-]*:)?//[^\s"''<>]+)', 1)) AS link FROM judged),
 links AS (
   SELECT src, translate(regexp_extract(substr(link, strpos(link, '//') + 2), '^([^/?#]*)', 1), '{url_rules.UPPER}', '{url_rules.LOWER}') AS dst, count(*) AS n
   FROM hrefs GROUP BY 1, 2 HAVING src <> '' AND dst <> '' AND src <> dst),

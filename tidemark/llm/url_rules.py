@@ -58,7 +58,7 @@ def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, links: DataFrame, rounds: int | None = None, damping_pct: int = 85, tolerance: int = TOLERANCE) -> DataFrame:
-    """(host, mass): integer personalised PageRank of ``seeds`` (host, seed) over ``links`` (src, dst, n).
+    """(host, mass): integer (no step of it beyond a long or decimal(38)) personalised PageRank of ``seeds`` (host, seed) over ``links`` (src, dst, n).
 
     The mass starts as the restart share of the seeds and only grows. What all later rounds can still add is at most
     damping / (1 - damping) times what the last one added to all hosts; the rounds end when that is ``tolerance`` or less, so no
@@ -75,7 +75,8 @@ def propagate(seeds: DataFrame, links: DataFrame, rounds: int | None = None, dam
     while rounds is None or done < rounds:
         sent = (
             links.join(mass, links.src == mass.host)
-            .select(F.col("dst").alias("host"), F.expr(f"(mass * {damping_pct} div 100) * n div total").alias("mass"))
+            .select(F.col("dst").alias("host"), F.expr(f"(mass div 100) * {damping_pct} + (mass % 100) * {damping_pct} div 100").alias("mass"), "n", "total")
+            .select("host", (F.expr("(mass div total) * n") + F.expr("cast(mass % total as decimal(19)) * cast(n as decimal(19)) div total")).alias("mass"))
             .unionByName(base)
         )
         new = cut(sent.groupBy("host").agg(F.sum("mass").alias("mass")), "mass")
@@ -97,6 +98,7 @@ def judge(
 
     A page under a rule takes that rule's verdict; any other takes its host's, from settled masses (``rounds`` None). Null or malformed urls have an empty
     host, no rule and verdict allow; null html has no links; repeated pages each count; an empty table gives no rows.
+    Very long pages are searched whole; of rules of equal length that fit, the last in (verdict, host, path) order wins; other columns are ignored.
     """
     host, path = url_parts(F.col(url_col))
     base = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
