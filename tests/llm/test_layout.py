@@ -126,6 +126,35 @@ def test_shard_sizes_near_equal_with_a_hot_value(spark, shards):
     assert len(sums) == shards and max(sums) - min(sums) <= 4 * 61
 
 
+def test_shards_equal_a_brute_force_tree(spark):
+    rng = random.Random(6)
+    sources = [f"https://a-long-common-prefix/{i}" for i in range(9)] + [None]
+    rows = [(i, "x" * rng.randint(0, 90), rng.choice(["en", "de", None]), rng.choice(sources[:1] * 8 + sources)) for i in range(700)] + [(None, None, "en", sources[3])] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    got = sorted((r.shard, r.slot, r.doc_id, r.size) for r in kd_shards.by_metadata(docs, 6).collect())
+    ids = docs.select("doc_id", "text", "lang", "source", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
+    ids = ids.withColumn("tie", F.xxhash64("doc_id", "crc")).collect()
+    low = lambda v: (v is not None, v)
+    place = {c: {v: float(i) for i, v in enumerate(sorted({r[c] for r in ids}, key=low))} for c in ("source", "lang")}
+    points = [((place["source"][r.source], place["lang"][r.lang], float(len(r.text or ""))), r.tie, low(r.doc_id), r.crc, len(r.text or "") + 1) for r in ids]
+    spread = [max(p[0][d] for p in points) - min(p[0][d] for p in points) for d in range(3)]
+
+    def split(some, leaves):
+        if leaves == 1:
+            return [some]
+        width = [(max(p[0][d] for p in some) - min(p[0][d] for p in some)) / (spread[d] or 1.0) for d in range(3)]
+        d = width.index(max(width))
+        total, before, half, sides = sum(p[4] for p in some), 0, leaves // 2, ([], [])
+        for p in sorted(some, key=lambda p: (p[0][d], *p[1:4])):
+            sides[(2 * before + p[4]) * leaves > 2 * total * half].append(p)
+            before += p[4]
+        return split(sides[0], half) + split(sides[1], leaves - half)
+
+    want = [(s, i, p[2][1], p[4]) for s, leaf in enumerate(split(points, 6)) for i, p in enumerate(sorted(leaf, key=lambda p: (p[2], p[3])))]
+    key = lambda x: (x[0], x[1])
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
 def _fill(sizes, budget):
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))}
     target, free = {}, dict(weight)

@@ -10,15 +10,22 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ._cut import cut
 from ._prefix import running_total
 
 
-def text_coordinate(value: Column) -> Column:
-    """An order-keeping number for a string: its first seven bytes; null lies below all."""
-    return F.coalesce(F.conv(F.substring(F.rpad(F.hex(value.cast("binary")), 14, "0"), 1, 14), 16, 10).cast("double"), F.lit(-1.0))
+def ranked(df: DataFrame, column: str, out: str) -> DataFrame:
+    """``df`` with a double ``out``: the place of the row's string among the distinct ones, by code point; null comes first.
+
+    The distinct values are counted and joined, never gathered, so values may be as many as rows or one may hold most of them.
+    """
+    key = F.when(F.col(column).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(column)))
+    keyed = df.withColumn("kd_key", key)
+    places = running_total(keyed.select("kd_key").distinct(), [F.col("kd_key")], None, "kd_place")
+    placed = keyed.join(cut(places, "kd-places"), "kd_key")
+    return placed.withColumn(out, F.col("kd_place").cast("double")).drop("kd_key", "kd_place")
 
 
 def shard(docs: DataFrame, size: str, dims: list[str], ids: list[str], shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -67,18 +74,19 @@ def shard(docs: DataFrame, size: str, dims: list[str], ids: list[str], shards: i
 def by_metadata(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Documents as rows of doc_id, size, text_crc32, law, shard, slot, grown_shard (always null under law ``bytes``).
 
-    Dimensions: source, language and length in characters. Null text is empty (size 1); null ids keep their place as
-    lowest; repeated rows each take a slot.
+    Dimensions: source and language (by their ranks) and length in characters. Null text is empty (size 1); null ids keep their place as
+    lowest; repeated rows each take a slot; very long texts count whole (a shard may exceed its share by one text); other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(
         "doc_id",
         F.crc32(text.cast("binary")).alias("text_crc32"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
-        text_coordinate(F.col("source")).alias("d_source"),
-        text_coordinate(F.col("lang")).alias("d_lang"),
+        "source",
+        "lang",
         F.char_length(text).cast("double").alias("d_chars"),
     )
+    base = ranked(ranked(cut(base, "kd-base"), "source", "d_source"), "lang", "d_lang")
     out = shard(base, "size", ["d_source", "d_lang", "d_chars"], ["doc_id", "text_crc32"], shards)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
