@@ -63,9 +63,6 @@ class CgkIndex:
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, words in self.items for w in words}))}
         self.pad = len(self.vocabulary) + 1
         self.tokens = [np.array([self.vocabulary[w] for w in words], np.int32) for _, words in self.items]
-        self.member = np.zeros((self.pad + 1, len(self.items)), bool)
-        for k, t in enumerate(self.tokens):
-            self.member[t, k] = True
         rng = np.random.default_rng(seed)
         groups: dict[int, list[int]] = {}
         for k, t in enumerate(self.tokens):
@@ -201,12 +198,14 @@ class CgkIndex:
             found.append(np.unique(anchor[:, 0] * room + starts[index] - anchor[:, 1] + (1 << 19)))
         item_of, base_of = np.divmod(np.unique(np.concatenate(found)), room)
         base_of = base_of - (1 << 19)
-        out = []
+        out, member = [], np.zeros(self.pad + 1, bool)
         cuts = np.flatnonzero(np.concatenate(([True], item_of[1:] != item_of[:-1]))) if len(item_of) else np.zeros(0, np.int64)
         for a, b in zip(cuts, np.append(cuts[1:], len(item_of)), strict=True) if len(cuts) else ():
             item = int(item_of[a])
             m = len(self.tokens[item])
             e = edits_allowed(m, self.pct)
+            member[:] = False
+            member[self.tokens[item]] = True
             for c in range(a, b, 20_000):
                 base = base_of[c : min(b, c + 20_000)]
                 middle = np.searchsorted(last, base + m // 2)  # the text that holds most of the window
@@ -214,7 +213,7 @@ class CgkIndex:
                 places = base[:, None] + np.arange(-e, m + e)[None, :]
                 inside = (places >= (offsets[:-1] + np.arange(n))[text][:, None]) & (places < last[text][:, None])
                 region = np.where(inside, flow[np.clip(places, 0, len(flow) - 1)], self.pad)
-                enough = self.member[region, item].sum(1) >= m - e
+                enough = member[region].sum(1) >= m - e
                 if enough.any():
                     edits = best_edits(self.tokens[item], region[enough])
                     ok = edits <= e
