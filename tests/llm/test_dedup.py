@@ -167,3 +167,10 @@ def test_line_winnowing_of_odd_rows(odd_docs, odd_rows, no_docs):
     assert {r.clean_text for r in got if r.doc_id == 60} == {""}
     assert all(r.removed_lines <= r.n_lines for r in got)
     assert line_winnow.dedup_lines(no_docs).count() == 0
+
+
+def test_line_winnowing_of_the_largest_id_and_none(spark):
+    body = "\n".join(" ".join(f"w{i}x{j}" for j in range(10)) for i in range(8))
+    rows = [((1 << 63) - 1, body), (None, body), (3, "short")]
+    got = {r.doc_id: (r.removed_lines, r.clean_text) for r in line_winnow.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3] == (0, "short") and sorted([got[(1 << 63) - 1][0], got[None][0]]) == [0, 8]
