@@ -6,6 +6,7 @@ the cluster names in ``spark.checkpoint.dir``: a lost executor then costs a re-r
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,12 @@ def discard(df: DataFrame) -> None:
     _delete(df.sparkSession, df._written_at)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that nothing refers to any more (it does so when the driver collects garbage)."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """``df`` checkpointed with its partitions and their order kept."""
     shared_dir(df.sparkSession)
