@@ -140,3 +140,8 @@ def timeline(entries: DataFrame, thread: str, at: str, kind: str, ident: str) ->
     """``entries`` with ``position`` in their thread: by time (nulls last), kind, id."""
     order = Window.partitionBy(thread).orderBy(F.asc_nulls_last(at), kind, ident)
     return entries.withColumn("position", F.row_number().over(order).cast("long"))
+
+
+def timeline_counts(entries: DataFrame, thread: str, kind: str) -> DataFrame:
+    """(thread, news_count, official_count)."""
+    return entries.groupBy(thread).agg(F.count_if(F.col(kind) == "NEWS").alias("news_count"), F.count_if(F.col(kind) == "OFFICIAL").alias("official_count"))

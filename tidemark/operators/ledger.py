@@ -63,13 +63,14 @@ def append(spark: SparkSession, path: str, incoming: DataFrame, batch: str) -> i
         return 0
     if not violations(incoming).isEmpty():
         raise ValueError("LEDGER_ROWS_REJECTED")
+    stored = stored.join(incoming.select(*KINDS).distinct(), KINDS, "left_semi")  # only the history of these entities decides
     content = F.sha2(F.to_json(F.array("canonical_event_id", "payload_sha256", "source_timestamp", "provenance")), 256)
     judged = versions.classify_append(stored.withColumn("content", content), incoming.withColumn("content", content), KINDS, "observed_us", "observation_id", "content")
     counts = {r["verdict"]: r["n"] for r in judged.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
     if counts.get("BACKDATED") or counts.get("CONFLICT"):
         raise ValueError(f"LEDGER_BATCH_REFUSED {counts}")
-    fresh = judged.filter("verdict = 'APPEND'").drop("content", "verdict").withColumn("batch", F.lit(batch))
-    fresh.write.mode("append").partitionBy("batch").parquet(f"{path}/rows")
+    fresh = judged.filter("verdict = 'APPEND'").drop("content", "verdict")
+    fresh.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")  # what a lost attempt left there goes
     spark.createDataFrame([(batch,)], "batch string").write.mode("append").json(f"{path}/batches")
     return counts.get("APPEND", 0)
 

@@ -571,9 +571,15 @@ def stream_first_seen(spark, sf_dir):
     return first_seen_batch(_read(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id")
 
 
+def _with_views() -> None:
+    from . import views  # noqa: F401  (registers its queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _with_views()
     return {name: function for name, (function, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _with_views()
     return {name: sql for name, (_, sql) in _found.items() if sql}
