@@ -105,3 +105,10 @@ def ambiguous_links(links: DataFrame, event: str, market: str) -> DataFrame:
     several = links.groupBy(market).agg(F.count_distinct(event).alias("_events"))
     out = links.join(several, market)
     return out.withColumn("link_status", F.when(F.col("_events") > 1, "AMBIGUOUS").otherwise("LINKED")).drop("_events")
+
+
+def first_members(rows: DataFrame, group: str, member: str, most: int) -> DataFrame:
+    """(group, members, first): the number of members of each group and the least ``most`` of them; a group is never gathered whole."""
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(member))).filter(F.col("_n") <= most)
+    shown = ranked.groupBy(group).agg(F.array_sort(F.collect_list(member)).alias("first"))
+    return rows.groupBy(group).agg(F.count(member).alias("members")).join(shown, group)

@@ -505,9 +505,10 @@ def set_intersect(spark, sf_dir):
     return _keys(spark, sf_dir, "customer", "c_custkey").intersect(_keys(spark, sf_dir, "orders", "o_custkey"))
 
 
-@_query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@_query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def set_except(spark, sf_dir):
-    return _keys(spark, sf_dir, "customer", "c_custkey").subtract(_keys(spark, sf_dir, "orders", "o_custkey"))
+    urgent = _read(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k"))
+    return _keys(spark, sf_dir, "customer", "c_custkey").subtract(urgent)
 
 
 def _keys(spark, sf_dir, table, column):
@@ -524,9 +525,11 @@ def unknown_codes(spark, sf_dir):
 FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2""")
 def marker_groups(spark, sf_dir):
     members = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
-    rows = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name").join(members, "n_nationkey", "left").groupBy("n_nationkey", "n_name").agg(F.collect_list("s_suppkey").alias("all"))
-    n = F.size("all").cast("long")
-    return rows.select("n_nationkey", "n_name", n.alias("members"), F.array_join(F.slice(F.array_sort("all"), 1, 3).cast("array<string>"), ",").alias("first_three"), F.greatest(F.lit(0), n - 3).cast("long").alias("more"))
+    shown = selection.first_members(members, "n_nationkey", "s_suppkey", 3)
+    rows = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name").join(shown, "n_nationkey", "left")
+    n = F.coalesce("members", F.lit(0)).cast("long")
+    first = F.coalesce(F.array_join(F.col("first").cast("array<string>"), ","), F.lit(""))
+    return rows.select("n_nationkey", "n_name", n.alias("members"), first.alias("first_three"), F.greatest(F.lit(0), n - 3).cast("long").alias("more"))
 
 
 @_query("""WITH o AS (SELECT p_partkey, string_split(p_type, ' ') AS labels FROM part) SELECT p_partkey, CASE WHEN len(labels) = 2 THEN 'BINARY' WHEN len(labels) > 2 THEN 'MULTI_OUTCOME' ELSE 'UNKNOWN' END AS outcome_type FROM o""")

@@ -403,3 +403,109 @@ def markup_text(spark, sf_dir):
     """Titles in markup come back as plain text: tags, CDATA, comments and one level of entities go."""
     marked = F.concat(F.lit("&lt;p class=\"a>b\"&gt;"), "title", F.lit("<br/>and<!-- no --><td>more</td> <![CDATA[<b>x</b>]]>"))
     return _articles(spark, sf_dir).select("p_partkey", marked.alias("m")).select("p_partkey", html_to_text("m").alias("text"))
+
+
+# Evidence, markets and the ledger, through their operators
+
+@_query("""WITH p AS (SELECT c_custkey, c_custkey % 5 <> 0 AS confirmed, c_custkey % 7 <> 0 AS authority, c_custkey % 11 <> 0 AS url, CASE c_custkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'late' WHEN 2 THEN 'early' ELSE 'bad' END AS pub FROM customer)
+SELECT c_custkey, confirmed AND authority AND url AND pub IN ('none', 'early') AS valid FROM p""")
+def official_packets(spark, sf_dir):
+    from ..operators import evidence
+
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    rows = _read(spark, sf_dir, "customer").select(
+        k.cast("string").alias("canonical_event_id"), F.when(k % 5 != 0, "OFFICIAL_CONFIRMED").alias("official_confirmation"), F.when(k % 7 != 0, "FACT_AUTHORITY").otherwise("SENSOR").alias("authority_role"),
+        F.when(k % 11 != 0, "https://a.example/d").otherwise("d").alias("official_source"), F.lit("d").alias("official_document_reference"), F.lit("Oil rose").alias("official_fact_proposition"),
+        F.when(k % 4 == 1, "2026-10-06T04:00:00Z").when(k % 4 == 2, "2026-10-06T02:00:00Z").when(k % 4 == 3, "yesterday").otherwise(none).alias("official_published_at"),
+        F.lit("2026-10-06T03:00:00Z").alias("official_project_first_seen_at"), F.lit("2026-10-06T03:00:01Z").alias("official_retrieved_at"),
+    )
+    return evidence.packets(rows).select(F.col("canonical_event_id").cast("long").alias("c_custkey"), "valid")
+
+
+@_query("""SELECT DISTINCT c_custkey % 50 AS event, CASE WHEN c_custkey % 50 % 3 = 0 THEN 'AMBIGUOUS_EVIDENCE' WHEN c_custkey % 50 % 3 = 1 THEN 'OFFICIAL_CONFIRMED' ELSE 'UNLINKED' END AS evidence_status FROM customer""")
+def official_evidence(spark, sf_dir):
+    """Copies of one proposition an event: differing ones are ambiguous, and those whose event is not there are not linked."""
+    from ..operators import evidence
+
+    event = F.col("c_custkey") % 50
+    rows = _read(spark, sf_dir, "customer").select(
+        event.cast("string").alias("canonical_event_id"), F.lit("OFFICIAL_CONFIRMED").alias("official_confirmation"), F.lit("FACT_AUTHORITY").alias("authority_role"),
+        F.lit("https://a.example/d").alias("official_source"), event.cast("string").alias("official_document_reference"), F.concat(F.lit("Fact "), event.cast("string")).alias("official_fact_proposition"),
+        F.when(event % 3 == 0, (F.col("c_custkey") % 100).cast("string")).otherwise("t").alias("document_title"),
+        F.lit("2026-10-06T03:00:00Z").alias("official_project_first_seen_at"), F.lit("2026-10-06T03:00:01Z").alias("official_retrieved_at"),
+    )
+    events = _read(spark, sf_dir, "customer").select(event.cast("string").alias("event_id")).distinct().filter("event_id % 3 <> 2").withColumn("article_references", F.array().cast("array<string>"))
+    return evidence.project(rows, events).select(F.col("document").cast("long").alias("event"), "evidence_status")
+
+
+@_query("""WITH m AS (SELECT CAST(p_partkey % 60 AS VARCHAR) AS market_id, p_partkey % 60 AS k, CASE WHEN p_partkey % 60 % 7 = 0 THEN p_name ELSE 'q' END AS question FROM part),
+u AS (SELECT market_id, k FROM m GROUP BY 1, 2 HAVING count(DISTINCT question) = 1)
+SELECT market_id, CASE k % 3 WHEN 0 THEN '0.25,0.75' WHEN 1 THEN NULL ELSE NULL END AS prices FROM u ORDER BY market_id LIMIT 20""")
+def market_parse(spark, sf_dir):
+    from ..operators import market
+
+    k = F.col("p_partkey") % 60
+    text = lambda x: F.lit(x)
+    rows = _read(spark, sf_dir, "part").select(
+        k.cast("string").alias("id"), F.when(k % 7 == 0, F.col("p_name")).otherwise("q").alias("question"), text('["Yes","No"]').alias("outcomes"),
+        F.when(k % 3 == 0, '["0.25","0.75"]').when(k % 3 == 1, '["0.25"]').otherwise('["0.25","1.75"]').alias("outcomePrices"), text("2026-11-01T00:00:00Z").alias("endDate"),
+        text("false").alias("closed"), text("true").alias("active"), text("false").alias("archived"),
+    )
+    return market.parse_markets(rows).select("market_id", F.array_join("prices", ",").alias("prices"))
+
+
+@_query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS o, l_quantity + 2 AS h, l_quantity - 1 AS l, l_quantity + CASE WHEN l_orderkey % 5 = 0 THEN 3 ELSE 0 END AS c, CASE WHEN l_orderkey % 7 = 0 THEN -1 ELSE 1 END AS v FROM lineitem)
+SELECT CASE WHEN least(o, h, l, c) <= 0 THEN 'NOT_POSITIVE' WHEN greatest(o, h, l, c) > h THEN 'RANGE' WHEN v < 0 THEN 'VOLUME' ELSE 'GOOD' END AS problem, count(*) AS bars FROM b GROUP BY 1""")
+def bar_faults(spark, sf_dir):
+    from ..operators import market
+
+    q, k = F.col("l_quantity").cast("double"), F.col("l_orderkey")
+    rows = _read(spark, sf_dir, "lineitem").select(q.alias("open"), (q + 2).alias("high"), (q - 1).alias("low"), (q + F.when(k % 5 == 0, 3).otherwise(0)).alias("close"), F.when(k % 7 == 0, -1).otherwise(1).alias("volume"))
+    return rows.groupBy(F.coalesce(market.bar_problem(), F.lit("GOOD")).alias("problem")).agg(F.count("*").alias("bars"))
+
+
+_LEDGER = "2024-01-15 00:00:00"
+
+
+@_query(f"""WITH s AS (SELECT * FROM events WHERE ts <= TIMESTAMP '{_LEDGER}'), t AS (SELECT DISTINCT user_id FROM s WHERE event_type = 'purchase'),
+r AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AS last FROM s WHERE user_id IN (SELECT user_id FROM t))
+SELECT event_id, last AS active_at_as_of, last AND event_type = 'purchase' AS visible FROM r""")
+def ledger_replay(spark, sf_dir):
+    """Users as entities bound to what they did; the event is the purchases."""
+    from ..operators import ledger
+
+    rows = _read(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("raw"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("observation_id"), F.lit("NEWS_ARTICLE").alias("observation_kind"),
+        F.col("user_id").cast("string").alias("entity_id"), F.col("event_type").alias("canonical_event_id"), canonical.micros(F.col("ts")).alias("observed_us"),
+    )
+    at = canonical.micros(F.lit(_LEDGER).cast("timestamp_ntz"))
+    return ledger.replay(rows, "purchase", at).select(F.col("raw").cast("long").alias("event_id"), "active_at_as_of", "visible")
+
+
+@_query("""SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'LATE_CLOCK' WHEN event_id % 13 = 0 THEN 'HASH' ELSE 'KIND' END AS fault FROM events WHERE event_id % 10 = 0 OR event_id % 13 = 0 OR event_id % 17 = 0""")
+def ledger_violations(spark, sf_dir):
+    from ..operators import ledger
+
+    n = F.col("event_id")
+    late = F.when(n % 10 == 0, "2030-01-01T00:00:00Z").otherwise("2020-01-01T00:00:00Z")
+    payload = F.to_json(F.struct(late.alias("retrieved_at")))
+    rows = _read(spark, sf_dir, "events").select(
+        "event_id", payload.alias("payload"), F.when(n % 13 == 0, "0").otherwise(F.sha2(payload, 256)).alias("payload_sha256"), F.when(n % 17 != 0, "NEWS_ARTICLE").alias("observation_kind"),
+        F.col("user_id").cast("string").alias("entity_id"), canonical.micros(F.col("ts")).alias("observed_us"),
+    )
+    fault = F.when(n % 10 == 0, "LATE_CLOCK").when(n % 13 == 0, "HASH").otherwise("KIND")
+    return ledger.violations(rows).select("event_id", fault.alias("fault"))
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0")
+def public_observations(spark, sf_dir):
+    from ..operators import market
+
+    k = F.col("o_orderkey")
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "PUBLIC_REDISTRIBUTABLE").otherwise("PRIVATE_RESEARCH_ONLY").alias("data_usage_scope"), F.when(k % 3 == 0, False).when(k % 3 == 1, True).alias("synthetic"))
+    return rows.filter(market.public()).select("o_orderkey")
+
+
+@_query(f"""WITH {_ARTICLES} SELECT p_partkey, title IN ('{TITLES[0]}', '{TITLES[3]}', '{TITLES[4]}', '{TITLES[6]}', '{TITLES[1]}', '{TITLES[5]}', '{TITLES[9]}', '{TITLES[12]}') AS relevant FROM a""")
+def title_relevance(spark, sf_dir):
+    return _articles(spark, sf_dir).select("p_partkey", S.macro_relevant(F.col("title")).alias("relevant"))
