@@ -249,7 +249,7 @@ def find(
             index = shared.value
             names = [i for i, _ in index.items]
             for batch in batches:
-                for piece in slices(batch, "text", 4 << 20):
+                for piece in slices(batch, "text", 1 << 20):
                     text, item, edits = index.matches(piece.column("text"))
                     yield pa.RecordBatch.from_arrays(
                         [

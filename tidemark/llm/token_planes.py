@@ -245,8 +245,7 @@ class TextEncoder:
         self.tokenizer.no_padding()
         added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.special = [] if special_as_text else [t.content for t in added]
-        with open(path, encoding="utf-8") as file:
-            described = json.load(file)
+        described = {k: json.loads(part.__getstate__()) for k in WORDWISE if (part := getattr(self.tokenizer, k)) is not None}
         plain = all(t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized or any(c.isspace() for c in t.content)) for t in added)
         self.wordwise = plain and all(described.get(k) == v for k, v in WORDWISE.items())
         encode = lambda words: self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -336,7 +335,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: st
         n_ids = n_docs = 0
         try:
             for batch in batches:
-                for rows in slices(batch, "text"):
+                for rows in slices(batch, "text", 2 << 20):
                     ids, lengths = encoder.encode(rows.column("text"), end)
                     if writer is None:
                         out = _open(path, "wb")
