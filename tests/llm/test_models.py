@@ -170,6 +170,36 @@ def test_ordinal_grades_held_out(spark, odd_docs, odd_rows, no_docs):
     assert ordinal_quality.classify(docs, rated.limit(0)).count() == 900
 
 
+def test_ordinal_fit_is_a_minimum_of_the_plain_loss():
+    """Finite differences of the cumulative-link loss, added up row by row, vanish at the fit but for the penalty's pull."""
+    rng = np.random.default_rng(3)
+    present = rng.random((90, 6)) < 0.5
+    grades = np.clip((present @ np.array([2.0, -2.0, 1.0, 0.0, 0.0, 0.5]) + rng.normal(0, 1, 90) + 1).astype(int), 0, 2)
+    rows, cols = np.nonzero(present)
+    l1 = 5e-3
+    model = ordinal_quality.OrdinalModel.fit(rows, cols, grades, 3, rounds=6000, l1=l1)
+    share = Counter(grades.tolist())
+
+    def loss(w, theta):
+        total = 0.0
+        for i in range(90):
+            score = sum(w[j] for j in range(6) if present[i, j])
+            for k in (1, 2):
+                p = 1 / (1 + math.exp(-(score - theta[k - 1])))
+                total -= math.log(p if grades[i] >= k else 1 - p) / share[int(grades[i])] / len(share)
+        return total
+
+    w, theta, step = model.weights[:6].astype(float), model.thresholds.astype(float), 1e-5
+    assert theta[0] <= theta[1] and np.count_nonzero(w) >= 3
+    for j in range(6):
+        e = np.eye(6)[j] * step
+        slope = (loss(w + e, theta) - loss(w - e, theta)) / (2 * step)
+        assert abs(slope + l1 * np.sign(w[j])) < 2e-3 if w[j] else abs(slope) <= l1 + 2e-3
+    for k in range(2):
+        e = np.eye(2)[k] * step
+        assert abs(loss(w, theta + e) - loss(w, theta - e)) / (2 * step) < 2e-3
+
+
 def test_features_are_present_once():
     rows, cols = ordinal_quality.features(pa.array(["a A a, b", "", None]))
     words = [(r, c) for r, c in zip(rows.tolist(), cols.tolist(), strict=True) if c < 1 << ordinal_quality.BITS]
