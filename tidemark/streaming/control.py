@@ -205,7 +205,7 @@ def ledger_path(environment: dict[str, str], home: str) -> str | None:
 
 def evidence_paths(environment: dict[str, str], root: str) -> dict[str, str | None]:
     """The paths of the eight inputs, each named by TIDEMARK_<NAME> and relative to ``root``; None where it is not named."""
-    names = ("news", "official", "expectations", "markets", "macroview", "source_health", "geography", "mapping")
+    names = ("news", "official", "expectations", "markets", "macro", "source_health", "geography", "mapping")
     given = {n: environment.get(f"TIDEMARK_{n.upper()}", "").strip() for n in names}
     return {n: (v if v.startswith("/") or "://" in v else f"{root}/{v}") if v else None for n, v in given.items()}
 
