@@ -133,6 +133,20 @@ def test_short_items_are_found_whatever_the_edit():
     assert all(_found(index, copies))
 
 
+def test_windows_in_chunks_and_words_in_columns(monkeypatch):
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(300)] + ["\u00e9t\u00e9", "\u0130x", "a_b"]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in range(24, 70, 3)]
+    texts = [" ".join([rng.choice(vocabulary) for _ in range(rng.randint(0, 90))] + _edit(w, len(w) // 5, rng)) for w in items * 3] + ["", None, "..."]
+    index = cgk_decontam.CgkIndex([(k, cgk_decontam.item_words(" ".join(w))) for k, w in enumerate(items)], 20, 0.97)
+    assert index.walks and not index.exact
+    whole = [x.tolist() for x in index.matches(pa.array(texts))]
+    monkeypatch.setattr(cgk_decontam, "CHUNK", 37)
+    assert [x.tolist() for x in index.matches(pa.array(texts))] == whole
+    words = ["V7,", "__", "\u0130X", "A_b", "\u00c9T\u00c9!", "none", "-", "v299"]
+    assert index._known(pa.array(words)).tolist() == [index.vocabulary.get(w, 0) if w else -1 for w in map(cgk_decontam.normal, words)]
+
+
 @pytest.mark.parametrize("most, recall", [(24, 0.97), (1, 1.0)])
 def test_long_items_meet_the_recall_at_every_length(most, recall):
     rng = random.Random(10)

@@ -2,10 +2,11 @@
 
 Documents and items are sequences of normalised words (lower case, letters and digits only). The CGK walk reads a
 sequence with a pointer: step j puts out the word under the pointer and moves on by a random bit of (j, word), so that a
-small edit distance becomes a small Hamming distance. A repetition draws new bits and samples three places
-of the walk; a window of the text and an item that agree on all of them are a candidate. Windows start at every word; an
-item is embedded from an anchor every four words and from its last window, so each of its parts gets a chance. The number of repetitions
-is what the items need, under as many random edits as are allowed, to meet ``recall`` at every length.
+small edit distance becomes a small Hamming distance. Every item is embedded whole, and so is the window of its size
+that starts at each word of a text. A repetition draws a new walk and samples two of its places; a window and an item
+that agree on all of them are a candidate. A walk is a random order of ``BLOCKS`` short random blocks of steps, so that a block's moves
+are worked out once for all repetitions. The number of repetitions is what the items need, under as many random edits as are allowed, to
+meet ``recall`` at every length.
 
 Items of less than ``SHORT`` words leave no room for spread samples, and some items may not meet ``recall`` in the most repetitions: these are cut
 into one part more than edits are allowed. Some part stays as it is in every copy, so windows that begin with a whole part are all the candidates
@@ -18,20 +19,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ._words import ragged, slices, tidied, words_of
 
 DROP = re.compile(r"[\W_]+")
-SAMPLES, ANCHOR, SHORT, TRIALS = 3, 4, 24, 1000
+SAMPLES, BLOCKS, SHORT, TRIALS, CHUNK = 2, 10, 24, 1000, 1 << 17
 
 
 def normal(word: str) -> str:
-    return DROP.sub("", word.lower())
+    low = word.lower()
+    return low if low.isalnum() else DROP.sub("", low)  # \w is alphanumerics and the underscore
 
 
 def item_words(text: str | None) -> list[str]:
@@ -54,48 +58,160 @@ def best_edits(item: np.ndarray, regions: np.ndarray) -> np.ndarray:
     return row.min(1)
 
 
+@dataclass
+class Sizes:
+    """Items of about one length, one after another with a pad after each, and what a repetition samples of them."""
+
+    members: np.ndarray
+    least: int
+    most: int
+    flow: np.ndarray
+    starts: np.ndarray
+
+
+@dataclass
+class Samples:
+    """The places that one repetition samples for items of one size, and the items' sorted keys there."""
+
+    size: int
+    places: list[int]
+    first: np.ndarray
+    levels: list[np.ndarray]
+    keys: np.ndarray
+    items: np.ndarray
+
+
 class CgkIndex:
-    """Items of one block with their anchors' keys in every repetition."""
+    """Items of one block with their keys in every repetition."""
 
-    def __init__(self, items: list[tuple[object, list[str]]], pct: int, recall: float, seed: int = 11, most: int = 24):
+    def __init__(self, items: list[tuple[object, list[str]]], pct: int, recall: float, seed: int = 11, most: int = 48):
         self.pct = pct
         self.items = [(i, w) for i, w in items if w]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, words in self.items for w in words}))}
         self.pad = len(self.vocabulary) + 1
         self.tokens = [np.array([self.vocabulary[w] for w in words], np.int32) for _, words in self.items]
         rng = np.random.default_rng(seed)
+        self.blocks = [rng.integers(0, 2, (2 + b % 4, self.pad + 1), np.int8) for b in range(BLOCKS)]
+        for bits in self.blocks:
+            bits[:, self.pad] = 0
         groups: dict[int, list[int]] = {}
         for k, t in enumerate(self.tokens):
-            groups.setdefault(0 if len(t) < SHORT else 12 if len(t) < 40 else 16, []).append(k)
-        self.runs, self.exact = [], groups.pop(0, [])
-        for steps, members in sorted(groups.items()):
-            runs = self._sampled(steps, members, recall, most, rng)
-            if runs is None:
-                self.exact += members
-            else:
-                self.runs += runs
-        self.runs += self._whole_parts(self.exact)
+            groups.setdefault(int(np.log(len(t) / SHORT) / np.log(1.35)) if len(t) >= SHORT else -1, []).append(k)
+        self.exact = groups.pop(-1, [])
+        self.walks = self._repetitions([self._sizes(g) for _, g in sorted(groups.items())], recall, most, rng)
+        self.runs = self._whole_parts(self.exact)
+
+    def _sizes(self, members: list[int]) -> Sizes:
+        lengths = np.array([len(self.tokens[k]) for k in members])
+        flow = np.concatenate([np.append(self.tokens[k], self.pad) for k in members])
+        return Sizes(np.array(members), int(lengths.min()), int(lengths.max()), flow, np.cumsum(lengths + 1) - lengths - 1)
+
+    def _moves(self, flow: np.ndarray) -> list[np.ndarray]:
+        """For each block: where its steps take a pointer from every place of ``flow``. A pad holds the pointer."""
+        moves = []
+        for bits in self.blocks:
+            at = np.arange(len(flow))
+            for row in bits:
+                at = at + row[flow][at]
+            moves.append(at)
+        return moves
+
+    def _repetitions(self, sizes: list[Sizes], recall: float, most: int, rng) -> list[tuple[list[int], int, np.ndarray, list[Samples]]]:
+        """Repetitions until randomly edited items of every length are found by two standard errors more than ``recall``.
+
+        Items of a size that ``most`` repetitions do not bring there are left to ``exact``.
+        """
+        need = min(1.0, recall + 2 * (recall * (1 - recall) / TRIALS) ** 0.5)
+        trials = [self._trials(s, rng) for s in sizes]
+        own, missed, found = [self._moves(s.flow) for s in sizes], [np.ones(len(t[0]), bool) for t in trials], []
+        left = list(range(len(sizes)))
+        while left and len(found) < most:
+            order = rng.integers(0, BLOCKS, 2 * sizes[left[-1]].most).tolist()
+            ends = np.cumsum([len(self.blocks[b]) for b in order])
+            depth = [int(np.searchsorted(ends, 1.8 * sizes[g].least, "right")) for g in left]  # where about nine tenths of the item are read
+            first, drawn = int(rng.integers(0, depth[0], SAMPLES).min()), {}
+            for g, deep in zip(left, depth, strict=True):
+                places = sorted((first + 1 + rng.choice(deep - first, SAMPLES - 1, replace=False)).tolist())
+                drawn[g] = self._samples(sizes[g], own[g], order, [first, *places])
+                missed[g] &= self._missed(trials[g], order, first, drawn[g])
+            found.append((order, first, drawn))
+            left = [g for g in left if (1 - missed[g].reshape(-1, TRIALS).mean(1) < need).any()]
+        for g in left:
+            self.exact = self.exact + sizes[g].members.tolist()
+        walks = []
+        for order, first, drawn in found:
+            kept = [x for g, x in drawn.items() if g not in left]
+            if kept:
+                walks.append((order, first, np.logical_or.reduce([x.first for x in kept]), kept))
+        return walks
+
+    def _samples(self, sizes: Sizes, moves: list[np.ndarray], order: list[int], places: list[int]) -> Samples:
+        at, done, key, levels = sizes.starts, 0, np.zeros(len(sizes.starts), np.int64), []
+        for place in places:
+            at, done = self._walked(moves, at, order[done:place]), place
+            key = key * (self.pad + 1) + sizes.flow[at]
+            levels.append(np.unique(key))
+        first = np.zeros(self.pad + 1, bool)
+        first[levels[0]] = True
+        by_key = np.argsort(key, kind="stable")
+        return Samples(sizes.most, places[1:], first, levels[1:], key[by_key], sizes.members[by_key])
+
+    @staticmethod
+    def _walked(moves: list[np.ndarray], at: np.ndarray, blocks: list[int]) -> np.ndarray:
+        for b in blocks:
+            at = moves[b][at]
+        return at
 
-    def _sampled(self, steps: int, members: list[int], recall: float, most: int, rng) -> list | None:
-        """Repetitions until randomly edited items of every length are found by two standard errors more than ``recall``; None if ``most`` do not do."""
-        anchors = [(k, o) for k in members for o in sorted({*range(0, len(self.tokens[k]) - steps + 1, ANCHOR), len(self.tokens[k]) - steps})]
-        windows = np.stack([self.tokens[k][o : o + steps] for k, o in anchors])
+    def _agreeing(self, flow, moves, starts, index, at, word, order, done, sampled: Samples) -> tuple[np.ndarray, np.ndarray]:
+        """(index into starts, item) of the windows that agree with an item on all samples; a window is dropped at the first that no item has."""
+        keep = sampled.first[word]
+        index, at, key = index[keep], at[keep], word[keep].astype(np.int64)
+        for place, level in zip(sampled.places, sampled.levels, strict=True):
+            at, done = self._walked(moves, at, order[done:place]), place
+            key = key * (self.pad + 1) + np.where(at - starts[index] < sampled.size, flow[at], self.pad)
+            keep = level[np.minimum(np.searchsorted(level, key), len(level) - 1)] == key
+            index, at, key = index[keep], at[keep], key[keep]
+        low, high = np.searchsorted(sampled.keys, key, "left"), np.searchsorted(sampled.keys, key, "right")
+        return np.repeat(index, high - low), sampled.items[ragged(low, high - low)]
+
+    def _windows(self, flow: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in flow, item) of the candidates of all repetitions, from a bounded number of places at a time."""
+        reach = max((sum(len(self.blocks[b]) for b in order) for order, *_ in self.walks), default=0)
+        for low in range(0, len(flow) if self.walks else 0, CHUNK):
+            part = np.append(flow[low : low + CHUNK + reach], self.pad)
+            moves = self._moves(part)
+            starts = np.flatnonzero(part[:CHUNK] != self.pad)
+            for order, first, table, kept in self.walks:
+                at = self._walked(moves, starts, order[:first])
+                word = part[at]
+                some = np.flatnonzero(table[word])
+                at, word = at[some], word[some]
+                for sampled in kept:
+                    index, item = self._agreeing(part, moves, starts, some, at, word, order, first, sampled)
+                    yield starts[index] + low, item
+
+    def _trials(self, sizes: Sizes, rng) -> tuple:
+        """TRIALS edited items for each length (steps of 8 words): their items, sizes, places and moves."""
         lengths: dict[int, list[int]] = {}
-        for k in members:
-            lengths.setdefault(min(6, len(self.tokens[k]) // 8), []).append(k)
+        for k in sizes.members.tolist():
+            lengths.setdefault(len(self.tokens[k]) // 8, []).append(k)
         trials = [t for some in lengths.values() for t in self._edited(some, rng)]
-        missed, runs = np.ones(len(trials), bool), []
-        need = recall + 2 * (recall * (1 - recall) / TRIALS) ** 0.5
-        for _ in range(most):
-            bits = rng.integers(0, 2, (steps, self.pad + 1), np.uint8)
-            bits[:, self.pad] = 0
-            apart = steps // SAMPLES  # far enough for the pointer to have moved
-            at = (int(rng.integers(0, apart)) + apart * np.arange(SAMPLES)).tolist()
-            runs.append((steps, bits, at, self._levels(windows, bits, at), np.array(anchors, np.int64)))
-            missed &= self._missed(trials, runs[-1])
-            if (1 - missed.reshape(-1, TRIALS).mean(1) >= min(need, 1)).all():
-                return runs
-        return None
+        counts = np.array([len(flow) for _, flow in trials])
+        flow = np.concatenate([np.append(flow, self.pad) for _, flow in trials])
+        starts = np.flatnonzero(flow != self.pad)
+        return np.array([k for k, _ in trials]), counts, flow, starts, np.repeat(np.arange(len(trials)), counts), self._moves(flow)
+
+    def _missed(self, trials: tuple, order: list[int], first: int, sampled: Samples) -> np.ndarray:
+        """Which edited items get no candidate whose region holds all of them."""
+        item, counts, flow, starts, trial, moves = trials
+        at = self._walked(moves, starts, order[:first])
+        index, hit = self._agreeing(flow, moves, starts, np.arange(len(starts)), at, flow[at], order, first, sampled)
+        m = np.array([len(self.tokens[k]) for k in item.tolist()])
+        e, on = edits_allowed(m, self.pct), trial[index]
+        base = starts[index] - (np.cumsum(counts + 1) - counts - 1)[on]
+        missed = np.ones(len(item), bool)
+        missed[on[(hit == item[on]) & (base <= e[on]) & (base + m[on] + e[on] >= counts[on])]] = False
+        return missed
 
     def _whole_parts(self, members: list[int]) -> list:
         """A run for each length of the parts of ``members``."""
@@ -125,23 +241,6 @@ class CgkIndex:
             out.append((k, np.array(flow, np.int32)))
         return out
 
-    def _missed(self, trials: list[tuple[int, np.ndarray]], run) -> np.ndarray:
-        """Which edited items get no candidate whose region holds all of them."""
-        sizes = np.array([len(flow) for _, flow in trials])
-        item = np.array([k for k, _ in trials])
-        m = np.array([len(self.tokens[k]) for k in item])
-        e = edits_allowed(m, self.pct)
-        trial = np.repeat(np.arange(len(trials)), sizes)
-        first = np.cumsum(sizes + 1) - sizes - 1
-        starts = np.arange(len(trial)) + trial
-        index, which = self._hits(np.concatenate([np.append(flow, self.pad) for _, flow in trials]), starts, (first + sizes)[trial], run)
-        on, anchor = trial[index], run[4][which]
-        base = starts[index] - first[on] - anchor[:, 1]
-        right = (anchor[:, 0] == item[on]) & (base <= e[on]) & (base + m[on] + e[on] >= sizes[on])
-        missed = np.ones(len(trials), bool)
-        missed[on[right]] = False
-        return missed
-
     def _walk(self, flow, at, ends, bits, first, last):
         """Pointers after steps first..last-1 of the walk."""
         for j in range(first, last):
@@ -178,10 +277,20 @@ class CgkIndex:
         low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
         return np.repeat(index, high - low), order[ragged(low, high - low)]
 
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """The vocabulary's number of each word's normal form: 0 if it has none, -1 if nothing is left of the word."""
+        ascii = pc.string_is_ascii(words)
+        plain = pc.replace_substring_regex(pc.ascii_lower(words.filter(ascii)), "[^0-9a-z]+", "")
+        number = pc.add(pc.fill_null(pc.index_in(plain, value_set=pa.array(list(self.vocabulary), words.type)), -1), 1)
+        out, own = np.empty(len(words), np.int32), ascii.to_numpy(zero_copy_only=False)
+        out[own] = pc.if_else(pc.equal(pc.binary_length(plain), 0), -1, number).to_numpy(zero_copy_only=False)
+        out[~own] = [self.vocabulary.get(w, 0) if w else -1 for w in map(normal, words.filter(pc.invert(ascii)).to_pylist())]
+        return out
+
     def matches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text index, item index, edits) of every candidate that is within the allowed edits."""
         codes, offsets, words = words_of(texts)
-        known = np.fromiter((self.vocabulary.get(w, 0) if w else -1 for w in map(normal, words.to_pylist())), np.int32, len(words))
+        known = self._known(words)
         flow = known[codes] if len(codes) else np.zeros(0, np.int32)
         full = np.concatenate(([0], np.cumsum(flow >= 0)))
         offsets, flow = full[offsets], flow[flow >= 0]
@@ -192,6 +301,8 @@ class CgkIndex:
         last = offsets[1:] + np.arange(n)
         ends = last[doc]
         found, room = [np.zeros(0, np.int64)], len(flow) + (1 << 20)
+        for place, item in self._windows(flow):
+            found.append(np.unique(item * room + place + (1 << 19)))
         for run in self.runs:
             index, which = self._hits(flow, starts, ends, run)
             anchor = run[4][which]
