@@ -121,3 +121,36 @@ def cache_differences(cache: DataFrame, derived: DataFrame) -> DataFrame:
     """Rows that only one of a derived cache and the ledger's state has; empty when they agree."""
     return cache.exceptAll(derived).unionByName(derived.exceptAll(cache))
 
+
+def rebound(rows: DataFrame) -> DataFrame:
+    """Rows whose id is not the hash of what they hold."""
+    again = observations(rows, F.col("observed_us")).select("observation_id").distinct()
+    return rows.join(again, "observation_id", "left_anti")
+
+
+def capture_history(rows: DataFrame, event: str, as_of_us: Column, most: int = 20_000) -> DataFrame:
+    """The versions of an event's entities as of an instant, without source states; fails beyond ``most`` rows instead of cutting them."""
+    found = read_as_of(rows, event, as_of_us).filter("observation_kind <> 'SOURCE_STATE'")
+    if found.limit(most + 1).count() > most:
+        raise ValueError("CAPTURE_HISTORY_TOO_LARGE")
+    return found
+
+
+def previews(rows: DataFrame, as_of_us: Column) -> DataFrame:
+    """(canonical_event_id, macroview_id, snapshot_sha256, parts): what a freeze of each event would hold, never stored; events without their own row are skipped."""
+    last = versions.latest(rows, KINDS, ORDER, as_of_us).filter("canonical_event_id is not null and observation_kind <> 'SOURCE_STATE'")
+    held = last.groupBy("canonical_event_id").agg(
+        F.array_sort(F.collect_list(F.struct("observation_kind", "entity_id", "payload_sha256"))).alias("parts"), F.count_if(F.col("observation_kind") == "EVENT").alias("own")
+    ).filter("own > 0")
+    digest = F.sha2(F.to_json(F.transform("parts", lambda p: p["payload_sha256"])), 256)
+    ident = F.concat(F.lit("macroview-preview-v0-"), F.sha2(F.concat_ws("|", "canonical_event_id", digest), 256))
+    return held.select("canonical_event_id", ident.alias("macroview_id"), digest.alias("snapshot_sha256"), F.size("parts").alias("parts"))
+
+
+def research_as_of(rows: DataFrame, event: str, as_of_us: Column) -> dict[str, DataFrame]:
+    """What was known of an event at an instant: its replay, the clocks of its visible entities and its preview."""
+    seen = replay(rows, event, as_of_us)
+    clocks = seen.groupBy(*KINDS).agg(
+        F.min("observed_us").alias("first_us"), F.max("observed_us").alias("last_us"), F.count("*").alias("versions"), F.bool_or("visible").alias("visible")
+    ).filter("visible").drop("visible")
+    return {"replay": seen, "detection": clocks, "preview": previews(rows, as_of_us).filter(F.col("canonical_event_id") == event)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import valid_url
-from . import versions
+from . import context, versions
 
 
 def memberships(articles: DataFrame, events: DataFrame, article: str, event: str) -> DataFrame:
@@ -192,3 +192,16 @@ def recovered(attempts: DataFrame, key: str, order: list[str], status: str) -> D
     """Attempts whose latest state is RESERVED, as rows that end them: INTERRUPTED_UNKNOWN."""
     last = versions.latest(attempts, [key], order)
     return last.filter(F.col(status) == "RESERVED").withColumn(status, F.lit("INTERRUPTED_UNKNOWN"))
+
+
+def enriched(events: DataFrame, texts: DataFrame, sources: DataFrame, points: DataFrame, event: str) -> DataFrame:
+    """``events`` with the context that their texts support, their institutions, and their own places where a source states these.
+
+    ``texts`` has the event, tier and text; ``sources`` the event and source_name. Context is no place: event_geography is KNOWN by strict points only.
+    """
+    inferred = context.infer(texts, event, "text", sources).withColumnsRenamed({"region_id": "context_region", "method": "context_method", "status": "context_status"})
+    houses = context.institutions(texts, event, "text", sources).groupBy(event).agg(F.array_sort(F.collect_set("institution_id")).alias("institutions"))
+    stated = strict_points(points).select(event).distinct().withColumn("_stated", F.lit("KNOWN"))
+    out = events.join(inferred.select(event, "context_region", "context_method", "context_status"), event, "left").join(houses, event, "left").join(stated, event, "left")
+    out = out.withColumn("context_status", F.coalesce("context_status", F.lit("UNKNOWN"))).withColumn("institutions", F.coalesce("institutions", F.array().cast("array<string>")))
+    return out.withColumn("event_geography", F.coalesce("_stated", F.lit("UNKNOWN"))).drop("_stated")

@@ -509,3 +509,55 @@ def public_observations(spark, sf_dir):
 @_query(f"""WITH {_ARTICLES} SELECT p_partkey, title IN ('{TITLES[0]}', '{TITLES[3]}', '{TITLES[4]}', '{TITLES[6]}', '{TITLES[1]}', '{TITLES[5]}', '{TITLES[9]}', '{TITLES[12]}') AS relevant FROM a""")
 def title_relevance(spark, sf_dir):
     return _articles(spark, sf_dir).select("p_partkey", S.macro_relevant(F.col("title")).alias("relevant"))
+
+
+# Inputs taken whole or not at all
+
+@_query("""WITH r AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders)
+SELECT CASE WHEN k % 11 = 0 THEN 'INVALID_MARKET_SYMBOL' WHEN k % 13 = 0 THEN 'INVALID_MARKET_EVENT' WHEN k % 17 = 0 THEN 'NO_POINT_IN_TIME_SOURCE'
+WHEN k % 19 = 0 THEN 'MARKET_TIME_AFTER_KNOWLEDGE' WHEN k % 23 = 0 THEN 'INVALID_MARKET_VALUE' WHEN k % 29 = 0 THEN 'MARKET_UNIT_MISMATCH' WHEN k % 6 = 0 THEN 'INVALID_PREVIOUS_CLOSE'
+WHEN k % 31 = 0 THEN 'INVALID_MARKET_VISIBILITY' ELSE 'GOOD' END AS fault, count(*) AS records FROM r GROUP BY 1""")
+def market_record_faults(spark, sf_dir):
+    from ..sources import packets
+
+    k = F.col("o_orderkey")
+    pick = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    close = F.struct(
+        F.lit(1.0).alias("price_or_level"), F.lit("2024-01-01T08:00:00Z").alias("market_timestamp"), pick(6, "2024-01-03T00:00:00Z", "2024-01-01T09:00:00Z").alias("observed_at"), F.lit("p").alias("source_observation_id")
+    )
+    rows = _read(spark, sf_dir, "orders").select(
+        pick(11, "XXX", "SPY").alias("symbol"), F.concat(F.lit("canonical-event-v0-"), F.repeat(pick(13, "g", "a"), F.lit(64))).alias("event_id"),
+        pick(17, "GUESSED", "SYSTEM_RECORDED_TIME").alias("time_basis"), F.lit("2024-01-02T00:00:00Z").alias("event_observed_at"), (F.col("o_totalprice").cast("double") * pick(23, -1, 1)).alias("price_or_level"),
+        pick(19, "2024-01-02T11:00:00Z", "2024-01-02T10:00:00Z").alias("market_timestamp"), F.lit("2024-01-02T10:30:00Z").alias("observed_at"), k.cast("string").alias("source_observation_id"),
+        F.struct(F.lit("Desk").alias("name"), F.lit("https://desk.example/q").alias("url")).alias("source"), pick(29, "YIELD_PERCENT", "PRICE").alias("value_unit"),
+        F.when(k % 2 == 0, close).alias("previous_close"), pick(31, "EVERYONE", "UNKNOWN").alias("data_usage_scope"), F.lit("desk").alias("provider"), F.lit(False).alias("synthetic"),
+    )
+    return rows.groupBy(F.coalesce(packets.record_fault(), F.lit("GOOD")).alias("fault")).agg(F.count("*").alias("records"))
+
+
+@_query("""SELECT 'https://feed.example/' || l_orderkey AS url, min(CAST(CAST(l_shipdate AS DATE) AS VARCHAR)) AS published, 'DATE_ONLY' AS "precision",
+count(DISTINCT l_linenumber) AS aliases, count(DISTINCT CAST(l_shipdate AS DATE)) > 1 OR count(DISTINCT l_linenumber % 3 = 0) > 1 AS conflicting FROM lineitem GROUP BY l_orderkey""")
+def feed_copies(spark, sf_dir):
+    from ..sources import packets
+
+    rows = _read(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("https://Feed.example/"), "l_orderkey", F.lit("?utm_source="), "l_linenumber", F.lit("#top")).alias("link"),
+        F.when(F.col("l_linenumber") % 3 == 0, "Other").when(F.col("l_linenumber") % 2 == 0, "It\u2019s").otherwise("It's").alias("title"), F.col("l_shipdate").cast("date").cast("string").alias("pubDate"),
+    )
+    return packets.feed_articles(rows).select("url", "published", "precision", F.size("aliases").cast("long").alias("aliases"), "conflicting")
+
+
+@_query(f"""WITH v AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 'EVENT' ELSE 'NEWS' END AS kind FROM events WHERE ts <= TIMESTAMP '{AS_OF}'),
+l AS (SELECT kind, user_id, arg_max(user_id % 50 + CASE WHEN event_type = 'click' THEN 50 ELSE 0 END, (ts, event_id)) AS e FROM v GROUP BY 1, 2)
+SELECT CAST(e AS VARCHAR) AS canonical_event_id, count(*) AS parts FROM l GROUP BY e HAVING count(*) FILTER (kind = 'EVENT') > 0""")
+def event_previews(spark, sf_dir):
+    """Users as entities; clicks are bound to events that have no row of their own."""
+    from ..operators import ledger
+
+    rows = _read(spark, sf_dir, "events").select(
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("observation_id"), F.when(F.col("event_type") == "purchase", "EVENT").otherwise("NEWS").alias("observation_kind"),
+        F.col("user_id").cast("string").alias("entity_id"), (F.col("user_id") % 50 + F.when(F.col("event_type") == "click", 50).otherwise(0)).cast("string").alias("canonical_event_id"),
+        canonical.micros(F.col("ts")).alias("observed_us"), F.sha2(F.col("event_id").cast("string"), 256).alias("payload_sha256"),
+    )
+    found = ledger.previews(rows, canonical.micros(F.lit(AS_OF).cast("timestamp_ntz")))
+    return found.select("canonical_event_id", F.col("parts").cast("long").alias("parts"))
