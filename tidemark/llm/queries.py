@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cgk_decontam, exact_dedup, fair_mix, kd_shards, line_winnow, ngram_join, ordinal_quality, ppm_lang, token_planes, url_rules
+from . import cgk_decontam, exact_dedup, fair_mix, hard_negatives, importance_resample, kd_search, kd_shards, line_winnow, ngram_join, ordinal_quality, ppm_lang, token_planes, url_rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +56,24 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, moved)
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ngram_join, op2_exact_dedup, op3_kd_shards, op4_token_planes, op5_fair_mix, op6_line_winnow, op7_url_rules, op8_cgk_decontam, op9_ppm_language,
-        op10_ordinal_quality,
+        op10_ordinal_quality, op11_hard_negatives, op12_importance_resample, op13_kd_search,
     )}
 
 
@@ -163,5 +177,77 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
 
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _scores(scale: int) -> str:
+    """(id, label, a vector of whole numbers): the rows that take part."""
+    return (
+        f"v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, "
+        f"list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE {_FINITE})"
+    )
+
+
+OP11_SQL = f"""
+WITH {_scores(256)},
+p AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id WHERE a.label IS NOT NULL AND b.label IS NOT NULL),
+pos AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM p WHERE same) WHERE n <= 5),
+neg AS (
+  SELECT pos.anchor_id, pos.vec_id AS positive_id, p.vec_id AS negative_id, pos.score AS positive_score, p.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY pos.anchor_id, pos.vec_id ORDER BY p.score DESC, p.vec_id) AS INTEGER) AS rank
+  FROM pos JOIN p ON p.anchor_id = pos.anchor_id AND NOT p.same AND 80 * pos.score <= 100 * p.score AND 100 * p.score <= 100 * pos.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5
+"""
+
+OP13_SQL = f"""
+WITH {_scores(64)},
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+_PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+#: The polynomial's table, then each distinct word's bytes folded through it.
+OP12_SQL = rf"""
+WITH crc AS (
+  SELECT list(list_reduce(range(0, 8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(CAST(3988292384 AS BIGINT), c // 2) ELSE c // 2 END, b) ORDER BY b) AS t
+  FROM range(0, 256) g(b)),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.LOWER}'), '{_PLAIN}') AS ws FROM documents),
+q AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.LOWER}'), '{_PLAIN}')) AS w FROM benchmark),
+raw AS (SELECT doc_id, unnest(ws) AS w FROM d),
+each AS (SELECT w FROM raw UNION SELECT w FROM q),
+bucket AS MATERIALIZED (
+  SELECT w, xor(CAST(4294967295 AS BIGINT), list_reduce(
+    list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda h: CAST('0x' || h AS BIGINT)),
+    lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1]), CAST(4294967295 AS BIGINT))) % 10000 AS b
+  FROM each, crc),
+counts AS (
+  SELECT b, sum(s) AS s, sum(t) AS t FROM (
+    SELECT b, 1 AS s, 0 AS t FROM raw JOIN bucket USING (w) UNION ALL SELECT b, 0, 1 FROM q JOIN bucket USING (w)) GROUP BY b),
+total AS (SELECT CAST(coalesce(sum(s), 0) + 10000 AS DOUBLE) AS s, CAST(coalesce(sum(t), 0) + 10000 AS DOUBLE) AS t FROM counts),
+gain AS (
+  SELECT b, CAST(floor(1000 * ln((CAST(c.t + 1 AS DOUBLE) * total.s) / (CAST(c.s + 1 AS DOUBLE) * total.t))) AS BIGINT) AS g FROM counts c, total),
+weight AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS weight FROM raw JOIN bucket USING (w) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN weight USING (doc_id)),
+able AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS n, count(*) OVER () * 10 // 100 AS drawn FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN a.n <= a.drawn THEN a.n END AS rank
+FROM scored s LEFT JOIN able a USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_line_winnow": OP6_SQL, "op7_url_rules": _op7_sql()}
+    return {
+        "op1_ngram_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_line_winnow": OP6_SQL, "op7_url_rules": _op7_sql(), "op11_hard_negatives": OP11_SQL,
+        "op12_importance_resample": OP12_SQL, "op13_kd_search": OP13_SQL,
+    }
