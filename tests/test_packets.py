@@ -8,8 +8,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.redaction import redacted
 from tidemark.operators import ledger, reaction, views
+from tidemark.operators.redact import redacted
 from tidemark.sources import packets
 
 EVENT = "canonical-event-v0-" + "a" * 64
@@ -103,9 +103,22 @@ def test_redaction_of_nested_documents(spark):
         "kept": {"contract_version": "MARKET_REALITY_SNAPSHOT_V0", "instruments": [{"price_or_level": None}, {"price_or_level": 1, **public}]},
         "gone": {"contract_version": "MARKET_REALITY_SNAPSHOT_V0", "instruments": [{"price_or_level": 1}]}, "bar": {"contract_version": "MARKET_OBSERVATION_V0"},
     }
-    rows = spark.createDataFrame([(json.dumps(value),), ("{",), (None,), ('{"provider": "Tiingo"}',)], "v string")
-    out = [r[0] for r in rows.select(redacted()("v")).collect()]
-    assert out[1:] == [None] * 3
+    deep = "x"
+    for i in range(11):
+        deep = [deep] if i % 3 else {"k": deep, "gone": {"provider": "tiingo", "deep": [[[1]]]}}
+    rows = spark.createDataFrame([(0, json.dumps(value)), (1, "{"), (2, None), (3, '{"provider": "Tiingo"}'), (4, json.dumps(deep)), (5, "[]"), (5, "[]"), (6, "null"), (7, ' "s"')], "n int, v string")
+    found = redacted(rows, "v")
+    assert found.columns == ["n", "v"]
+    kept = sorted(tuple(r) for r in found.collect())
+    out = [v for _, v in kept]
+    assert out[1:4] == [None] * 3 and out[5:] == ["[]", "[]", None, '"s"']
+    for i in reversed(range(11)):
+        deep = deep[0] if i % 3 else deep["k"]
+    shown = json.loads(out[4])
+    for i in reversed(range(11)):
+        assert i % 3 or shown["gone"] is None
+        shown = shown[0] if i % 3 else shown["k"]
+    assert shown == deep == "x"
     assert json.loads(out[0]) == {
         "a": [1, [{"x": {"data_usage_scope": "PUBLIC_REDISTRIBUTABLE"}}]], "market_observations": [], "market_reality_observations": [public], "kept": value["kept"], "gone": None, "bar": None,
     }

@@ -1,73 +1,44 @@
-"""What of a nested JSON document may be shown; nesting is open-ended, so documents are walked in Arrow batches."""
+"""What of an object in a nested JSON document may be shown: rules on VARIANT as column expressions."""
 
 from __future__ import annotations
 
-import json
+from pyspark.sql import Column, functions as F
 
-import pandas as pd
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from . import canonical_json as C
 
-#: Members that never leave, and members whose rows must each be public.
-HIDDEN, ROWS = {"private_market_observations", "market_reality_windows"}, {"market_reality_observations"}
+#: Members that never leave, members that leave empty, and members whose rows must each be public.
+HIDDEN, EMPTIED, ROWS = ["private_market_observations", "market_reality_windows"], "market_observations", "market_reality_observations"
 #: Contracts whose objects must be public as a whole.
 OBSERVATION, SNAPSHOT, PUBLIC = "MARKET_OBSERVATION_V0", "MARKET_REALITY_SNAPSHOT_V0", "PUBLIC_REDISTRIBUTABLE"
 
 
-def is_public(row, private: str) -> bool:
-    """An object of the public scope, not synthetic, from neither the private provider's name nor its host."""
-    if not isinstance(row, dict) or row.get("data_usage_scope") != PUBLIC or row.get("synthetic", False) is not False:
-        return False
-    source = row.get("source") or {}
-    if not isinstance(source, dict):
-        return False
-    place = str(source.get("url") or row.get("source_reference") or "").lower().partition("//")[2]
-    for end in "/?#":
-        place = place.partition(end)[0]
-    host = place.rpartition("@")[2].partition(":")[0]
-    named = str(row.get("provider", "")).lower() == private or private in str(source.get("name", "")).lower()
-    return not named and not (host == f"{private}.com" or host.endswith(f".{private}.com"))
-
-
-def _forbidden(held: dict, private: str) -> bool:
-    if held.get("data_usage_scope", PUBLIC) != PUBLIC or str(held.get("provider", "")).lower() == private:
-        return True
-    contract = held.get("contract_version")
-    used = [i for i in held.get("instruments") or [] if i.get("price_or_level") is not None or i.get("source") is not None] if contract == SNAPSHOT else []
-    return (contract == OBSERVATION and not is_public(held, private)) or not all(is_public(i, private) for i in used)
-
-
-def shown(value, private: str):
-    """``value`` without what may not be shown: forbidden members become null, forbidden list items go."""
-    if isinstance(value, list):
-        return [x for x in (shown(item, private) for item in value) if x is not None]
-    if not isinstance(value, dict):
-        return value
-    if _forbidden(value, private):
-        return None
-    out = {}
-    for name in value.keys() - HIDDEN:
-        held = value[name]
-        if name == "market_observations":
-            held = []
-        elif name in ROWS:
-            held = [row for row in held if is_public(row, private)] if isinstance(held, list) else []
-        out[name] = shown(held, private)
-    return out
-
-
-def redacted(private: str = "tiingo"):
-    """A column function: JSON text as it may be shown, keys sorted; null for what is no JSON or forbidden as a whole."""
-
-    @pandas_udf(StringType())
-    def redact(values: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                kept = shown(json.loads(text), private)
-            except ValueError:
-                return None
-            return None if kept is None else json.dumps(kept, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-
-        return values.map(one, na_action="ignore")
-
-    return redact
+def public(document: Column, private: str) -> Column:
+    """Whether a VARIANT is an object of the public scope, not synthetic, and from neither the private provider's name nor its host."""
+    lower = lambda path: F.lower(F.coalesce(F.try_variant_get(document, path, "string"), F.lit("")))
+    link = F.when(lower("$.source.url") != "", lower("$.source.url")).otherwise(lower("$.source_reference"))
+    host = F.regexp_extract(link, r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)", 1)
+    named = (lower("$.provider") == private) | F.contains(lower("$.source.name"), F.lit(private))
+    source = C.member_text(document, "source")
+    real = F.coalesce(F.to_json(C.member(document, "synthetic", "variant")), F.lit("false")) == "false"
+    scoped = C.member(document, "data_usage_scope").eqNullSafe(F.lit(PUBLIC))
+    return scoped & real & (F.startswith(source, F.lit("{")) | (source == "null")) & ~named & (host != f"{private}.com") & ~F.endswith(host, F.lit(f".{private}.com"))
+
+
+def forbidden(document: Column, private: str) -> Column:
+    """Whether an object may not leave at all."""
+    scope = C.member(document, "data_usage_scope", "variant")
+    contract = F.coalesce(C.member(document, "contract_version"), F.lit(""))
+    used = lambda i: (C.member_text(i, "price_or_level") != "null") | (C.member_text(i, "source") != "null")
+    instruments = F.coalesce(C.member(document, "instruments", "array<variant>"), F.array().cast("array<variant>"))
+    return (
+        (scope.isNotNull() & ~C.member(document, "data_usage_scope").eqNullSafe(F.lit(PUBLIC))) | (F.lower(F.coalesce(C.member(document, "provider"), F.lit(""))) == private)
+        | ((contract == OBSERVATION) & ~public(document, private)) | ((contract == SNAPSHOT) & F.exists(instruments, lambda i: used(i) & ~public(i, private)))
+    )
+
+
+def members(text: Column) -> Column:
+    """(key, text) of the members of an object in key order, or of the items of an array (without keys)."""
+    shown = lambda v: F.coalesce(F.to_json(v), F.lit("null"))
+    held = lambda m: F.transform(F.array_sort(F.map_keys(m)), lambda k: F.struct(k.alias("key"), shown(m[k]).alias("text")))
+    items = F.transform(F.from_json(text, "array<variant>"), lambda v: F.struct(F.lit(None).cast("string").alias("key"), shown(v).alias("text")))
+    return F.when(F.startswith(text, F.lit("{")), C.using(F.from_json(text, "map<string, variant>"), held)).otherwise(items)

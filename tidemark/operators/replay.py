@@ -11,6 +11,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import canonical_json as C
+from ..functions.redaction import public
 from ..lineage import cut
 from . import versions
 from .ledger import KINDS, ORDER
@@ -40,16 +41,8 @@ def instant(as_of_us: int, short: bool = False) -> str:
 
 
 def public_payload(payload: Column | str, private: str = PRIVATE) -> Column:
-    """Whether an observation's payload may be shown: the public scope, not synthetic, and from neither the private provider's name nor its host."""
-
-    def rule(d: Column) -> Column:
-        get = lambda path: F.lower(F.coalesce(F.try_variant_get(d, path, "string"), F.lit("")))
-        link = F.when(get("$.source.url") != "", get("$.source.url")).otherwise(get("$.source_reference"))
-        host = F.regexp_extract(link, r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1)
-        mine = (get("$.provider") == private) | F.contains(get("$.source.name"), F.lit(private)) | (host == f"{private}.com") | F.endswith(host, F.lit(f".{private}.com"))
-        return C.member(d, "data_usage_scope").eqNullSafe(F.lit("PUBLIC_REDISTRIBUTABLE")) & get("$.synthetic").isin("", "false") & ~mine
-
-    return F.coalesce(C.using(C.parsed(payload), rule), F.lit(False))
+    """Whether an observation's payload may be shown."""
+    return F.coalesce(C.using(C.parsed(payload), lambda d: public(d, private)), F.lit(False))
 
 
 def admitted(rows: DataFrame, as_of_us: int) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators import canonical, replay
-from .catalog import AS_OF, _query, _read
+from ..functions import canonical_json as C
+from ..functions.lexicons import TOPICS
+from ..lineage import shared_folder
+from ..operators import assembly, canonical, replay
+from ..streaming import polls
+from .catalog import AS_OF, NOW, _ntz, _query, _read
+from .views import _ARTICLES, _VALID, _articles, _quoted, bank_decision_sql
 
 AT_US = 1705752000000000  # AS_OF in microseconds
 KIND = ["CANONICAL_EVENT_STATE", "NEWS_ARTICLE", "NEWS_ARTICLE", "OFFICIAL_EVIDENCE", "MARKET_EXPECTATION", "CONTEXT_GEOGRAPHY", "SOURCE_STATE", "MARKET_REALITY", "NEWS_ARTICLE"]
@@ -104,3 +111,106 @@ def research_known(spark, sf_dir):
     out = replay.research(ledger_rows(spark, sf_dir), AT_US)
     clocks = F.array_join(F.transform("detection", lambda d: F.concat_ws(":", d["entity_id"], d["versions"].cast("string"))), ",")
     return out.select("canonical_event_id", "replay_status", "official_propositions", "evidence_versions", "evidence_in_force", F.when(clocks != "", clocks).alias("detection"))
+
+
+# The view
+
+@_query("""WITH o AS (SELECT o_custkey AS e, count(*) AS articles, array_to_string(list_slice(list(o_orderkey ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)), 1, 3), ',') AS first FROM orders GROUP BY 1),
+f AS (SELECT user_id AS e, count(*) FILTER (WHERE event_type = 'purchase') AS official, bool_or(event_type = 'purchase' AND event_id % 50 = 0) AS conflict, count(*) FILTER (WHERE event_type = 'click' AND event_id % 3 <> 0) AS expectations,
+count(*) FILTER (WHERE event_type = 'signup' AND event_id % 4 = 0) AS points, count(*) FILTER (WHERE event_type = 'view') AS prices, count(DISTINCT event_id % 7 < 6) FILTER (WHERE event_type = 'view') AS anchors FROM events GROUP BY 1)
+SELECT CAST(c_custkey AS VARCHAR) AS event_id, coalesce(articles, 0) AS articles, coalesce(first, '') AS first, coalesce(official, 0) AS official, coalesce(expectations, 0) AS expectations,
+CASE WHEN conflict THEN 'CONFLICTING_EVIDENCE' WHEN official > 0 THEN 'OFFICIAL_PARTIAL' WHEN articles > 0 THEN 'SOURCE_REPORTED_ONLY' ELSE 'NOT_VERIFIED' END AS verification, CASE WHEN points > 0 THEN 'KNOWN' ELSE 'UNKNOWN' END AS geography,
+CASE WHEN coalesce(prices, 0) = 0 THEN 'NO_OBSERVATIONS' WHEN anchors > 1 THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS market FROM customer LEFT JOIN o ON o.e = c_custkey LEFT JOIN f ON f.e = c_custkey""")
+def event_view(spark, sf_dir):
+    """Customers as events: orders are their articles, what they did is evidence, expectations, places and prices."""
+    did = _read(spark, sf_dir, "events").withColumn("event_id_", F.col("user_id"))
+    of = lambda kind, **cols: did.filter(F.col("event_type") == kind).select(F.col("event_id_").alias("event_id"), *[c.alias(n) for n, c in cols.items()])
+    n = F.col("event_id")
+    out = assembly.events_view(
+        _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("event_id"), F.col("c_name").alias("event_title")),
+        _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article_reference"), F.col("o_custkey").alias("event_id"), F.col("o_orderstatus").alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published")),
+        of("purchase", official_evidence_id=n, evidence_status=F.lit("OFFICIAL_CONFIRMED"), link_status=F.when(n % 50 == 0, "CONFLICTING_EVIDENCE_COPIES").otherwise("LINKED"), proposition=F.lit("p")),
+        of("click", expectation_id=n, link_status=F.when(n % 3 != 0, "LINKED").otherwise("UNLINKED"), question=F.lit("q")), of("signup", geography_id=n, place_name=F.lit("x")).filter("geography_id % 4 = 0"),
+        of("view", symbol=n, anchor=F.when(n % 7 < 6, "t0").otherwise("t1"), status=F.lit("AVAILABLE")), most=3,
+    )
+    first = F.array_join(F.transform("articles", lambda a: F.get_json_object(a, "$.article_reference")), ",")
+    return out.select(
+        "event_id", F.col("articles_count").alias("articles"), first.alias("first"), F.col("official_evidence_count").alias("official"), F.col("market_expectations_count").alias("expectations"),
+        F.col("verification_status").alias("verification"), F.col("geography_status").alias("geography"), F.col("market_status").alias("market"),
+    )
+
+
+def _topic_sql() -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(title, {_quoted('(?i)' + p)}) THEN '{name}'" for name, p in TOPICS) + " ELSE 'UNKNOWN' END"
+
+
+@_query(f"""WITH {_ARTICLES}, m AS (SELECT p_partkey AS ref, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS event FROM part),
+o AS (SELECT p_brand AS event, count(*) AS facts, bool_or(p_partkey % 300 = 0) AS conflict FROM part WHERE p_partkey % 30 = 0 GROUP BY 1),
+t AS (SELECT a.*, m.event, coalesce(o.facts, 0) AS facts, o.conflict, {_VALID} AS valid, {bank_decision_sql()} AS decision, TIMESTAMP '{NOW}' - INTERVAL 1 HOUR * (p_partkey % 97 - 1) AS published FROM a JOIN m ON m.ref = a.p_partkey LEFT JOIN o ON o.event = m.event)
+SELECT p_partkey AS article_reference, event AS event_id, {_topic_sql()} AS topic, facts, CASE WHEN conflict THEN 'CONFLICTING_EVIDENCE' WHEN facts > 0 THEN 'OFFICIAL_PARTIAL' WHEN valid THEN 'SOURCE_REPORTED_ONLY' ELSE 'NOT_VERIFIED' END AS verification,
+CASE WHEN event IS NOT NULL AND decision THEN 'SAME_POLICY_TOPIC' ELSE 'NO_VALID_HISTORICAL_ANALOGUE' END AS relation,
+CASE WHEN p_partkey % 97 > 49 THEN 'STALE_SOURCE_ARTICLE' WHEN p_partkey % 97 < 1 THEN 'INSUFFICIENT_EVIDENCE' WHEN event IS NOT NULL AND p_partkey % 2 = 0 AND regexp_matches(title, {_quoted(assembly.IMPORTANT)}) THEN 'HIGH_PRIORITY_RESEARCH' ELSE 'NORMAL_RESEARCH' END AS priority FROM t""")
+def article_triage(spark, sf_dir):
+    part, key = _read(spark, sf_dir, "part"), F.col("p_partkey")
+    at = F.date_format(F.expr(f"timestamp_ntz '{NOW}' - make_interval(0, 0, 0, 0, cast(p_partkey % 97 - 1 as int))"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    basis = F.when(key % 2 == 0, "FIRST_RECORDED_SOURCE_OBSERVATION")
+    articles = _articles(spark, sf_dir).select(
+        key.alias("article_reference"), "title", F.col("name").alias("source_name"), F.col("url").alias("source_url"), at.alias("reported_at"), F.lit("REPORTED_TIME").alias("reported_time_kind"), at.alias("observed_at"), basis.alias("observation_time_basis"),
+    )
+    twice = part.filter("p_partkey % 5 = 0").select(key.alias("article_reference"), F.explode(F.array("p_brand", F.lit("other"))).alias("event_id"))
+    members = part.filter("p_partkey % 5 <> 0").select(key.alias("article_reference"), F.col("p_brand").alias("event_id")).unionByName(twice)
+    official = part.filter("p_partkey % 30 = 0").select(
+        F.col("p_brand").alias("event_id"), key.cast("string").alias("official_evidence_id"), F.lit("OFFICIAL_CONFIRMED").alias("evidence_status"), F.when(key % 300 == 0, "CONFLICTING_EVIDENCE_COPIES").alias("link_status"), F.lit("p").alias("proposition"),
+    )
+    cases = _read(spark, sf_dir, "region").select(F.col("r_name").alias("research_case_id"), F.lit("AVAILABLE").alias("status"), (F.col("r_regionkey") < 2).alias("receipt"))
+    sources = _read(spark, sf_dir, "nation").select(F.col("n_name").alias("source_name"), F.lit("x").alias("last_attempt_at"), F.lit("x").alias("last_success_at"), F.lit("OK").alias("status"))
+    out = assembly.triage(articles, members, official, cases, sources, _ntz(NOW).cast("timestamp"))
+    return out.select(
+        "article_reference", "event_id", "topic", F.col("official_evidence_count").alias("facts"), F.col("event_triage.verification_status").alias("verification"), F.col("event_triage.research_relation").alias("relation"),
+        F.col("research_priority.priority").alias("priority"),
+    )
+
+
+@_query("""SELECT event_id, '{"a":{"d":[1,{"y":null,"z":"' || event_type || '"}],"e":{}},"b":' || CAST(json_extract(props, '$.k') AS VARCHAR) || ',"u":' || user_id || '}' AS canonical, event_id % 2 = 0 AS sealed FROM events""")
+def canonical_props(spark, sf_dir):
+    """Nested documents with keys in any order come back canonical; every second one carries its own fingerprint."""
+    rows = _read(spark, sf_dir, "events").select("event_id", F.concat(
+        F.lit('{"u": '), F.col("user_id").cast("string"), F.lit(', "b":'), F.get_json_object("props", "$.k"), F.lit(' , "a": {"e":{}, "d":[1, {"z":"'), F.col("event_type"), F.lit('","y":null}]}}'),
+    ).alias("doc"))
+    seal = F.when(F.col("event_id") % 2 == 0, C.fingerprint("doc")).otherwise("none")
+    carried = F.concat(F.lit('{"artifact_fingerprint":"'), seal, F.lit('",'), F.substring("doc", F.lit(2), F.length("doc")))
+    return rows.select("event_id", C.canonical("doc").alias("canonical"), C.sealed(carried).alias("sealed"))
+
+
+@_query("""SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE '{"bar":' || CASE WHEN event_type = 'click' AND event_id % 3 <> 0 THEN '{"contract_version":"MARKET_OBSERVATION_V0","data_usage_scope":"PUBLIC_REDISTRIBUTABLE","k":' || event_id || '}' ELSE 'null' END
+|| ',"deep":[[{"n":[' || CASE WHEN event_id % 2 = 0 THEN '{"a":null,"v":' || user_id || '}' ELSE '' END || ']}]],"market_observations":[],"market_reality_observations":[' || CASE WHEN event_id % 3 <> 0 THEN '{"data_usage_scope":"PUBLIC_REDISTRIBUTABLE","k":1}' ELSE '' END || '],"t":"' || event_type || '"}' END AS shown FROM events""")
+def redacted_documents(spark, sf_dir):
+    """Nested documents without the members, rows and objects that may not be shown."""
+    from ..operators.redact import redacted
+
+    n, scope = F.col("event_id"), F.when(F.col("event_id") % 3 != 0, "PUBLIC_REDISTRIBUTABLE").otherwise("PRIVATE_RESEARCH_ONLY")
+    none = F.lit(None).cast("string")
+    doc = F.to_json(F.struct(
+        F.col("event_type").alias("t"), F.when(F.col("event_type") == "error", "Tiingo").alias("provider"), F.array(F.struct(F.lit(1).alias("x"))).alias("private_market_observations"), F.array(F.lit(1), F.lit(2)).alias("market_observations"),
+        F.array(F.struct(scope.alias("data_usage_scope"), F.lit(1).alias("k"))).alias("market_reality_observations"),
+        F.struct(F.when(F.col("event_type") == "click", scope).alias("data_usage_scope"), F.lit("MARKET_OBSERVATION_V0").alias("contract_version"), n.alias("k")).alias("bar"),
+        F.array(F.array(F.struct(F.array(F.struct(F.col("user_id").alias("v"), F.array(none)[0].alias("a"), F.when(n % 2 == 1, "UNKNOWN").alias("data_usage_scope"))).alias("n")))).alias("deep"),
+    ))
+    with_null = F.replace(doc, F.lit('{"v":'), F.lit('{"a":null,"v":'))
+    return redacted(_read(spark, sf_dir, "events").select("event_id", with_null.alias("shown")), "shown")
+
+
+@_query("""WITH t AS (SELECT event_id, user_id, ts, event_type, lag(ts) OVER w AS before, lag(event_type) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, before IS NULL OR ts - before > INTERVAL 12 HOUR AS fresh FROM t)
+SELECT event_id, CASE WHEN fresh THEN 'NEW' WHEN was = event_type THEN 'DUPLICATE' ELSE 'UPDATED' END AS change, epoch_us(max(CASE WHEN fresh THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS first_observed_us FROM n""")
+def stream_versions(spark, sf_dir):
+    """The events as polls in the order of their clock, in a stream that stops and goes on from its checkpoint three times."""
+    rows = _read(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    folder = f"{shared_folder(spark)}/polls-{uuid.uuid4().hex}"
+    edges = [AT_US - 7 * 86_400_000_000, AT_US]
+    third = F.when(F.unix_micros("ts") < edges[0], 0).when(F.unix_micros("ts") < edges[1], 1).otherwise(2)
+    build = lambda stream: polls.content_versions(stream, "user_id", "ts", ["event_id"], "event_type", keep="12 hours")
+    for part in range(3):
+        rows.filter(third == part).write.mode("append").parquet(f"{folder}/in")
+        polls.advance(build, spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out").select("event_id", "change", "first_observed_us")

@@ -53,9 +53,13 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-@_query(f"""WITH {_ARTICLES} SELECT p_partkey, NOT regexp_matches(title, {_quoted(R.NO_DECISION)}) AND NOT regexp_matches(url, {_quoted(R.NO_DECISION_PATH)})
+def bank_decision_sql() -> str:
+    return f"""(NOT regexp_matches(title, {_quoted(R.NO_DECISION)}) AND NOT regexp_matches(url, {_quoted(R.NO_DECISION_PATH)})
 AND ((regexp_matches(title, {_quoted(R.DECISION_ACTOR)}) AND regexp_matches(title, {_quoted(R.DECISION)}))
-OR (lower(trim(title)) = 'monetary policy decisions' AND {_HOST} = 'www.ecb.europa.eu' AND contains(url, '/press/pr/'))) AS decision FROM a""")
+OR (lower(trim(title)) = 'monetary policy decisions' AND {_HOST} = 'www.ecb.europa.eu' AND contains(url, '/press/pr/'))))"""
+
+
+@_query(f"WITH {_ARTICLES} SELECT p_partkey, {bank_decision_sql()} AS decision FROM a")
 def bank_decision(spark, sf_dir):
     return _articles(spark, sf_dir).select("p_partkey", R.ecb_decision(F.col("title"), F.col("url")).alias("decision"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -17,8 +17,8 @@ def first_seen_batch(rows: DataFrame, key: str, order: str) -> DataFrame:
 class FirstSeen(StatefulProcessor):
     """Emits a key's first row once, for ever."""
 
-    def __init__(self, key: str, order: str, schema: str):
-        self.key, self.order, self.schema = key, order, schema
+    def __init__(self, order: str):
+        self.order = order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "hit boolean")
@@ -37,24 +37,44 @@ class FirstSeen(StatefulProcessor):
 
 
 class Versions(StatefulProcessor):
-    """Classifies rows of a key as NEW, UPDATED or DUPLICATE by their content; the first observed clock stays."""
+    """Classifies rows of a key as NEW, UPDATED or DUPLICATE by their content; the first observed clock stays.
 
-    def __init__(self, order: str, content: str):
-        self.order, self.content = order, content
+    A key whose last row is more than ``keep_us`` before is NEW again. A timer on the event clock drops the state of such keys, so what is kept follows the keys of the
+    last ``keep_us`` and the watermark's delay, not all keys ever seen.
+    """
+
+    def __init__(self, clock: str, order: list[str], content: str, keep_us: int):
+        self.clock, self.order, self.content, self.keep_us = clock, order, content, keep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "content string, first_observed string")
+        self.handle = handle
+        self.last = handle.getValueState("last", "content string, first_us long, last_us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        pdf = pd.concat(list(rows)).sort_values([self.clock, *self.order], kind="stable")
         held = self.last.get() if self.last.exists() else None
+        before = held
         kinds, firsts = [], []
-        for content, at in zip(pdf[self.content].astype(str), pdf[self.order].astype(str), strict=True):
+        times = pdf[self.clock].astype("datetime64[us]").astype("int64")
+        for content, at in zip(pdf[self.content].astype(str), times.tolist(), strict=True):
+            if held is not None and at - held[2] > self.keep_us:
+                held = None
             kinds.append("NEW" if held is None else "DUPLICATE" if held[0] == content else "UPDATED")
-            held = (content, at if held is None else held[1])
+            held = (content, at if held is None else held[1], at if held is None else max(at, held[2]))
             firsts.append(held[1])
+        if before is not None:
+            self.handle.deleteTimer(self._due(before[2]))
         self.last.update(held)
-        yield pdf.assign(change=kinds, first_observed=firsts)
+        self.handle.registerTimer(self._due(held[2]))
+        yield pdf.assign(change=kinds, first_observed_us=firsts)
+
+    def _due(self, last_us: int) -> int:
+        """The millisecond after which no row can belong to the key's last one."""
+        return (last_us + self.keep_us) // 1000 + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -63,18 +83,49 @@ class Versions(StatefulProcessor):
 def first_seen(stream: DataFrame, key: str, order: str) -> DataFrame:
     """Stream of the first row of each key (state store: RocksDB)."""
     return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=FirstSeen(key, order, ""), outputStructType=stream.schema, outputMode="Append", timeMode="None"
+        statefulProcessor=FirstSeen(order), outputStructType=stream.schema, outputMode="Append", timeMode="None"
     )
 
 
-def content_versions(stream: DataFrame, key: str, order: str, content: str) -> DataFrame:
-    """Stream of all rows with ``change`` (NEW, UPDATED, DUPLICATE) and ``first_observed``."""
-    schema = stream.schema.add("change", "string").add("first_observed", "string")
-    return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Versions(order, content), outputStructType=schema, outputMode="Append", timeMode="None"
+def content_versions(stream: DataFrame, key: str, clock: str, order: list[str], content: str, keep: str = "30 days", delay: str = "1 hour") -> DataFrame:
+    """Stream of all rows with ``change`` (NEW, UPDATED, DUPLICATE) and ``first_observed_us`` of the key's run of rows without a gap above ``keep``.
+
+    ``clock`` is a timestamp; rows later than ``delay`` behind the newest are dropped by the watermark, and rows of a key must reach the stream in the order of their clock beyond that.
+    """
+    schema = stream.schema.add("change", "string").add("first_observed_us", "long")
+    keep_us = int(pd.Timedelta(keep).total_seconds() * 1_000_000)
+    return stream.withWatermark(clock, delay).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=Versions(clock, order, content, keep_us), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
 
 
+def content_versions_batch(rows: DataFrame, key: str, clock: str, order: list[str], content: str, keep: str = "30 days") -> DataFrame:
+    """What ``content_versions`` leaves after all rows, as one plan."""
+    keep_us = int(pd.Timedelta(keep).total_seconds() * 1_000_000)
+    by_key = Window.partitionBy(key).orderBy(clock, *order)
+    at = F.unix_micros(F.col(clock).cast("timestamp"))
+    out = rows.withColumn("_before", F.lag(at).over(by_key)).withColumn("_content", F.lag(content).over(by_key))
+    new = F.col("_before").isNull() | (at - F.col("_before") > keep_us)
+    out = out.withColumn("change", F.when(new, "NEW").when(F.col("_content").eqNullSafe(F.col(content)), "DUPLICATE").otherwise("UPDATED"))
+    return out.withColumn("first_observed_us", F.last(F.when(new, at), ignorenulls=True).over(by_key)).drop("_before", "_content")
+
+
+def advance(build: Callable[[DataFrame], DataFrame], source: DataFrame, out: str, checkpoint: str) -> None:
+    """Takes what ``source`` has now through ``build`` to Parquet files in ``out`` and stops; a later call goes on from the checkpoint, whichever session makes it."""
+    spark = source.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = build(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def record(stream: DataFrame, append: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs ``append`` on every micro-batch that is available now; a batch id seen again must be idempotent there."""
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
