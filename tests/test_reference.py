@@ -253,6 +253,14 @@ def test_link_decisions(spark):
     assert got["e1", "m4"] == ("NO_MATCH", "RESOLUTION_TEXT_CONTRADICTS_QUESTION")
     assert got["e3", "m5"][0] == "LINKED"
     assert got["e1", "m6"] == ("INSUFFICIENT_EVIDENCE", "NEGATION_DEADLINE_OR_CONDITION_NOT_SUPPORTED")
+    again = e.unionByName(e.filter("event_id = 'e3'").withColumn("event_id", F.lit("e4")))
+    for rows in (e, again, again.unionByName(e.filter("event_id = 'e1'"))):
+        whole = linker.link_events(rows, m).collect()
+        kept = [r for r in whole if r.link_status == "LINKED" or r.reason == "MULTIPLE_CANONICAL_EVENT_TARGETS"]
+        indexed = linker.links(rows, m).collect()
+        assert all(r in whole for r in indexed) and sorted(kept) == sorted(r for r in indexed if r in kept)
+    with pytest.raises(ValueError, match="more than 2 events"):
+        linker.link_events(e, m, most_events=2)
 
 
 def test_rss_rejections_in_order(spark):

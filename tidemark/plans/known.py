@@ -214,3 +214,32 @@ def stream_versions(spark, sf_dir):
         rows.filter(third == part).write.mode("append").parquet(f"{folder}/in")
         polls.advance(build, spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state")
     return spark.read.parquet(f"{folder}/out").select("event_id", "change", "first_observed_us")
+
+
+_DAY = "'2026-' || lpad(CAST(({k} % 336) // 28 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST({k} % 28 + 1 AS VARCHAR), 2, '0')"
+
+
+@_query(f"""WITH e AS (SELECT s_suppkey AS event_id, s_suppkey % 2 AS actor, {_DAY.format(k="s_suppkey")} AS day, s_suppkey % 7 = 0 AS iffy FROM supplier),
+m AS (SELECT p_partkey AS market_id, p_partkey % 2 AS actor, {_DAY.format(k="p_partkey")} AS day, p_partkey % 5 = 0 AS other FROM part),
+p AS (SELECT event_id, market_id, CASE WHEN iffy THEN 'INSUFFICIENT_EVIDENCE' WHEN other OR e.day < '2026-03-01' OR e.day > '2026-12-01' THEN 'NO_MATCH' ELSE 'LINKED' END AS status FROM e JOIN m USING (actor, day))
+SELECT event_id, market_id, CASE WHEN status = 'LINKED' AND count(*) FILTER (WHERE status = 'LINKED') OVER (PARTITION BY market_id) > 1 THEN 'AMBIGUOUS' ELSE status END AS link_status FROM p""")
+def event_market_index(spark, sf_dir):
+    """Suppliers' events and parts' markets meet by institution and day, not as a product."""
+    from ..operators import linker
+
+    def day(key: str) -> Column:
+        two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
+        return F.concat(F.lit("2026-"), two(F.floor(F.col(key) % 336 / 28) + 1), F.lit("-"), two(F.col(key) % 28 + 1))
+
+    stamp = lambda v: F.lit(v).cast("timestamp")
+    who = lambda key: F.when(F.col(key) % 2 == 0, "ECB").otherwise("Fed")
+    events = _read(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("event_id"), F.concat(who("s_suppkey"), F.lit(" to cut rates on "), day("s_suppkey"), F.when(F.col("s_suppkey") % 7 == 0, " if growth slows").otherwise("")).alias("event_title"),
+        F.lit(None).cast("timestamp").alias("event_occurred_at"), stamp("2026-03-01 00:00:00").alias("first_detected_at"),
+    )
+    markets = _read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("market_id"), F.concat(F.lit("Will the "), who("p_partkey"), F.when(F.col("p_partkey") % 5 == 0, " hold rates on ").otherwise(" cut rates on "), day("p_partkey"), F.lit("?")).alias("question"),
+        F.lit(None).cast("string").alias("description"), F.lit("").alias("resolution_criteria"), F.lit(False).alias("closed"), F.lit(True).alias("active"), F.lit(False).alias("incomplete"),
+        stamp("2026-02-01 00:00:00").alias("observed_at"), stamp("2026-12-01 00:00:00").alias("market_close_time"), F.lit(True).alias("trusted"),
+    )
+    return linker.links(events, markets).select("event_id", "market_id", "link_status")
