@@ -1,5 +1,6 @@
 """The view of events and the triage of articles."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -32,3 +33,29 @@ def test_priority(spark, title, hours, proven, want):
     now = F.lit("2024-01-10 00:00:00").cast("timestamp")
     published = F.lit(None).cast("timestamp") if hours is None else F.timestamp_micros(F.unix_micros(now) - F.lit(hours * 3_600_000_000))
     assert spark.range(1).select(assembly.priority(F.lit(title).cast("string"), published, now, F.lit(proven).cast("boolean"))["priority"]).first()[0] == want
+
+
+def test_nearest_and_merging_pairs_equal_brute_force(spark):
+    import random
+
+    from tidemark.operators import asof, canonical
+
+    rng = random.Random(6)
+    day = lambda n: (dt.date(2024, 1, 1) + dt.timedelta(days=n)) if n is not None else None
+    seen = [(rng.choice("aaab"), rng.choice([None, *range(0, 200, 3)]), float(rng.randrange(9))) for _ in range(120)]
+    asked = [(i, k, n) for i, (k, n) in enumerate([(k, n) for k in "abc" for n in (-5, 0, 30, 31, 59, 60, 99, 150, 198, 199, 300, 60)])]
+    out = asof.nearest(
+        spark.createDataFrame([(i, k, day(n)) for i, k, n in asked], "i int, k string, e date"), spark.createDataFrame([(k, day(n), v) for k, n, v in seen], "k string, d date, v double"), "k", "e", "d", "v"
+    )
+    for r in out.collect():
+        own = [(day(n), v) for k, n, v in seen if k == r.k and n is not None]
+        before, after = max([x for x in own if x[0] < r.e], default=(None, None)), min([x for x in own if x[0] > r.e], default=(None, None))
+        assert (r.pre_date, r.pre_value, r.post_date, r.post_value) == before + after
+    assert out.count() == len(asked)
+    rows = [(i, rng.choice("xxy"), rng.randrange(-50, 400)) for i in range(150)]
+    df = spark.createDataFrame(rows, "i int, k string, at long")
+    pairs = canonical.merging_pairs(df, ["k"], "i", "at", 6)
+    want = {(a, b) for a, k, s in rows for b, j, t in rows if k == j and a < b and abs(s - t) <= 6}
+    assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(want)
+    sizes = {k: sum(1 for r in rows if r[1] == k) for k in "xy"}
+    assert {r.k: r.merging + r.apart for r in canonical.pair_counts(df, pairs, ["k"]).collect()} == {k: n * (n - 1) // 2 for k, n in sizes.items()}

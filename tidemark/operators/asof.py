@@ -44,12 +44,32 @@ def stale(target: Column, made: Column, limit: int) -> Column:
 
 
 def nearest(anchors: DataFrame, observations: DataFrame, key: str, anchor_date: str, date: str, value: str) -> DataFrame:
-    """``anchors`` with the last observation strictly before and the first strictly after ``anchor_date``."""
-    rows = anchors.join(observations.select(key, F.col(date).alias("_d"), F.col(value).alias("_v")), key, "left")
-    before, after = F.col("_d") < F.col(anchor_date), F.col("_d") > F.col(anchor_date)
-    return rows.groupBy(*anchors.columns).agg(
-        F.max(F.when(before, F.struct("_d", "_v"))).alias("pre"), F.min(F.when(after, F.struct("_d", "_v"))).alias("post")
-    ).select(*anchors.columns, F.col("pre._d").alias("pre_date"), F.col("pre._v").alias("pre_value"), F.col("post._d").alias("post_date"), F.col("post._v").alias("post_value"))
+    """``anchors`` with the last observation strictly before and the first strictly after ``anchor_date``; of one date's values the greatest before, the least after.
+
+    A key's observations stand in months. Each month knows the nearest of the months before and after it (a window over one row a key and month), so a key that holds
+    a third of all rows spreads over its months, and an anchor meets only its own.
+    """
+    month = lambda d: F.trunc(d, "MONTH")
+    days = observations.filter(F.col(date).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(date).alias("_d")).agg(F.max(value).alias("_hi"), F.min(value).alias("_lo"))
+    days = days.withColumn("_m", month("_d")).withColumn("_pre", F.struct("_d", F.col("_hi").alias("_v"))).withColumn("_post", F.struct("_d", F.col("_lo").alias("_v")))
+    wanted = anchors.withColumn("_k", F.col(key)).withColumn("_d", F.col(anchor_date)).withColumn("_m", month("_d"))
+    ends = days.groupBy("_k", "_m").agg(F.max("_pre").alias("_last"), F.min("_post").alias("_first"))
+    marks = wanted.select("_k", "_m").distinct().unionByName(ends.select("_k", "_m")).distinct().join(ends, ["_k", "_m"], "left")
+    months = Window.partitionBy("_k").orderBy("_m")
+    carried = marks.select(
+        "_k", "_m", F.max("_last").over(months.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_first").over(months.rowsBetween(1, Window.unboundedFollowing)).alias("_after")
+    )
+    row = F.struct(*anchors.columns)
+    none = lambda frame, c: F.lit(None).cast(frame.schema[c].dataType).alias(c)
+    shaped = wanted.select("_k", "_d", "_m", row.alias("_row"))
+    both = days.select("_k", "_d", "_m", F.lit(1).alias("_side"), "_pre", "_post", none(shaped, "_row")).unionByName(
+        shaped.select("_k", "_d", "_m", F.lit(0).alias("_side"), none(days, "_pre"), none(days, "_post"), "_row")
+    )
+    up = Window.partitionBy("_k", "_m").orderBy("_d", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("_k", "_m").orderBy(F.desc("_d"), "_side").rowsBetween(Window.unboundedPreceding, -1)
+    met = both.withColumn("_p", F.max("_pre").over(up)).withColumn("_n", F.min("_post").over(down)).filter("_side = 0").join(carried, ["_k", "_m"], "left")
+    met = met.select("_row.*", F.coalesce("_p", "_before").alias("_p"), F.coalesce("_n", "_after").alias("_n"))
+    return met.select(*anchors.columns, F.col("_p._d").alias("pre_date"), F.col("_p._v").alias("pre_value"), F.col("_n._d").alias("post_date"), F.col("_n._v").alias("post_value"))
 
 
 def missing_dates(observations: DataFrame, key: str, date: str) -> DataFrame:

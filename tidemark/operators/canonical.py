@@ -90,6 +90,22 @@ def pair_evidence(rows: DataFrame, keys: list[str], row_id: str, at: str, span:
     return side("a").join(side("b"), keys).filter("a < b").select("a", "b", (F.abs(F.col("_a") - F.col("_b")) <= span).alias("merges"))
 
 
+def merging_pairs(rows: DataFrame, keys: list[str], row_id: str, at: str, span: int) -> DataFrame:
+    """(keys, a, b) of the pairs of one key within ``span``, a before b; rows meet in buckets of the span and its neighbours only, so a group spread over time costs what it has of pairs."""
+    bucket = F.floor(F.col(at) / span)
+    left = rows.select(*keys, F.col(row_id).alias("a"), F.col(at).alias("_a"), bucket.alias("_bucket"))
+    right = rows.select(*keys, F.col(row_id).alias("b"), F.col(at).alias("_b"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket"))
+    return left.join(right, [*keys, "_bucket"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("_a") - F.col("_b")) <= span)).select(*keys, "a", "b")
+
+
+def pair_counts(rows: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, merging, apart): how many pairs of each key merge, and how many do not, which are only counted."""
+    size = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    held = pairs.groupBy(*keys).agg(F.count("*").alias("_m"))
+    merging, n = F.coalesce("_m", F.lit(0)), F.col("_n")
+    return size.join(held, keys, "left").select(*keys, merging.alias("merging"), (F.expr("_n * (_n - 1) div 2") - merging).alias("apart"))
+
+
 def shortest(title: str) -> Column:
     """The shortest title, ties by folded and then plain text."""
     return F.min_by(title, F.struct(F.length(title), F.lower(title), F.col(title)))

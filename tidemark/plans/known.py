@@ -243,3 +243,25 @@ def event_market_index(spark, sf_dir):
         stamp("2026-02-01 00:00:00").alias("observed_at"), stamp("2026-12-01 00:00:00").alias("market_close_time"), F.lit(True).alias("trusted"),
     )
     return linker.links(events, markets).select("event_id", "market_id", "link_status")
+
+
+# Pairs
+
+_SIX = "abs(date_diff('microsecond', a.ts, b.ts)) <= 21600000000"
+
+
+def _timed(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", canonical.micros(F.col("ts")).alias("us"))
+
+
+@_query(f"SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id < b.event_id AND {_SIX}")
+def merging_pairs_6h(spark, sf_dir):
+    return canonical.merging_pairs(_timed(spark, sf_dir), ["user_id", "event_type"], "event_id", "us", canonical.SIX_HOURS).select("a", "b")
+
+
+@_query(f"""WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2),
+m AS (SELECT a.user_id, a.event_type, count(*) AS m FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id < b.event_id AND {_SIX} GROUP BY 1, 2)
+SELECT n.user_id, n.event_type, coalesce(m, 0) AS merging, CAST(n * (n - 1) // 2 - coalesce(m, 0) AS BIGINT) AS apart FROM n LEFT JOIN m ON m.user_id = n.user_id AND m.event_type = n.event_type""")
+def merge_pair_counts(spark, sf_dir):
+    rows, keys = _timed(spark, sf_dir), ["user_id", "event_type"]
+    return canonical.pair_counts(rows, canonical.merging_pairs(rows, keys, "event_id", "us", canonical.SIX_HOURS), keys)
