@@ -31,6 +31,7 @@ from ._words import ragged, slices, tidied, words_of
 
 DROP = re.compile(r"[\W_]+")
 SAMPLES, BLOCKS, SHORT, TRIALS, CHUNK = 2, 10, 24, 1000, 1 << 17
+REGION_CELLS = 1 << 20  # words of candidate regions that are compared at a time
 
 
 def normal(word: str) -> str:
@@ -48,8 +49,9 @@ def edits_allowed(words: int, pct: int) -> int:
 
 def best_edits(item: np.ndarray, regions: np.ndarray) -> np.ndarray:
     """Least word edit distance of ``item`` to any run of words of each row of ``regions``."""
-    places = np.arange(regions.shape[1] + 1, dtype=np.int16)
-    row = np.zeros((len(regions), len(places)), np.int16)
+    kind = np.int16 if regions.shape[1] + len(item) < 1 << 14 else np.int32  # counts of edits and places, which no region outgrows
+    places = np.arange(regions.shape[1] + 1, dtype=kind)
+    row = np.zeros((len(regions), len(places)), kind)
     for i, word in enumerate(item):
         new = row + 1
         new[:, 1:] = np.minimum(new[:, 1:], row[:, :-1] + (regions != word))
@@ -317,8 +319,9 @@ class CgkIndex:
             e = edits_allowed(m, self.pct)
             member[:] = False
             member[self.tokens[item]] = True
-            for c in range(a, b, 20_000):
-                base = base_of[c : min(b, c + 20_000)]
+            step = max(1, min(20_000, REGION_CELLS // (m + 2 * e)))
+            for c in range(a, b, step):
+                base = base_of[c : min(b, c + step)]
                 middle = np.searchsorted(last, base + m // 2)  # the text that holds most of the window
                 text = np.minimum(middle, n - 1)
                 places = base[:, None] + np.arange(-e, m + e)[None, :]
@@ -341,7 +344,7 @@ def find(
     """(doc_id, item_id, edits, item_words): documents that hold an item within pct percent of its words in edits.
 
     ``edits`` is the least found; all documents with an item of less than SHORT words are found, others with probability ``recall``
-    at least, as measured on random edits, or certainly where repetitions do not do. The benchmark is the query set: it is read in blocks of ``block`` items, each against all documents. Null
+    at least, as measured on random edits, or certainly where repetitions do not do. Items may be as long as texts are. Regions of equal edits give one row with their least. The benchmark is the query set: it is read in blocks of ``block`` items, each against all documents. Null
     or wordless texts and items match nothing; repeated rows give one row; an empty side gives no rows; other
     columns are ignored.
     """
