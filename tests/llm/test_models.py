@@ -306,3 +306,49 @@ def test_pipeline_stages(spark, odd_rows, tmp_path):
     assert set(ids[3]) <= set(ids[2]) and max(Counter(ids[3]).values()) <= 2
     assert ids[4] == ids[3]
     assert pipeline.ORACLE_SQL is None
+
+
+def test_edits_in_long_regions():
+    rng = np.random.default_rng(8)
+    item = rng.integers(1, 900, 300)
+    region = np.concatenate([rng.integers(1, 900, 34_000), item])
+    assert cgk_decontam.best_edits(item, region[None, :]).tolist() == [0]
+    changed = np.where(np.arange(300) % 30 == 7, 950, item)
+    assert cgk_decontam.best_edits(item, np.concatenate([region[:34_000], changed, region[:9]])[None, :]).tolist() == [10]
+
+
+def test_find_equals_an_exhaustive_scan(spark):
+    rng = random.Random(12)
+    words = [f"t{i}" for i in range(60)]
+    items = [[rng.choice(words) for _ in range(n)] for n in (6, 11, 18, 24, 30, 45, 80)]
+    docs = []
+    for i in range(240):
+        body = [rng.choice(words) for _ in range(rng.randint(0, 90))]
+        if i % 2:
+            copy = list(rng.choice(items))
+            for _ in range(rng.randint(0, len(copy) * 26 // 100)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
+            at = rng.randint(0, len(body))
+            body[at:at] = copy
+        docs.append(body)
+    place = {w: k for k, w in enumerate(words)}
+    want = {}
+    for d, body in enumerate(docs):
+        for k, item in enumerate(items):
+            least = cgk_decontam.best_edits(np.array([place[w] for w in item]), np.array([[place[w] for w in body]], np.int64).reshape(1, -1))[0]
+            if least <= cgk_decontam.edits_allowed(len(item), 20):
+                want[d, k] = least
+    rows = spark.createDataFrame([(d, " ".join(b)) for d, b in enumerate(docs)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in cgk_decontam.find(rows, spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id int, text string")).collect()}
+    assert len(want) > 60 and got.keys() <= want.keys() and all(got[k] == want[k] for k in got)
+    assert {k for k in want if len(items[k[1]]) < cgk_decontam.SHORT} <= got.keys() and len(got) >= 0.97 * len(want)
+
+
+def test_repeated_ids_and_huge_texts_bound_the_fit(spark):
+    rows = [(7, f"copy {i}") for i in range(50)] + [(8, "x" * 3000), (9, "good words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ratings = spark.createDataFrame([(7, 0), (8, 1), (9, 2)], "doc_id long, grade int")
+    one = spark.createDataFrame([(7, "copy 0"), (9, "good words here")], "doc_id long, text string")
+    a, b = ordinal_quality.fit(docs, ratings, text_bytes=2000), ordinal_quality.fit(one, ratings)
+    assert (a.weights == b.weights).all() and (a.thresholds == b.thresholds).all()

@@ -18,11 +18,13 @@ _owners: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The cluster's shared checkpoint folder; a temporary one only where a session on one machine names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
+            if not (context.master() == "local" or context.master().startswith("local[")):
+                raise ValueError("CHECKPOINT_FOLDER_REQUIRED: set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         named = context.getCheckpointDir().get()
     return named.rstrip("/")

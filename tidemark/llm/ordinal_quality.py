@@ -140,15 +140,16 @@ def grade_of(quality, toxic):
     return F.when(toxic == 1, 0).when((toxic == 0) & (quality == 0), 1).when((toxic == 0) & (quality == 1), 2)
 
 
-def fit(docs: DataFrame, ratings: DataFrame, levels: int = 3, per_grade: int = 3000, id_col: str = "doc_id", text_col: str = "text", **options) -> OrdinalModel:
+def fit(docs: DataFrame, ratings: DataFrame, levels: int = 3, per_grade: int = 3000, id_col: str = "doc_id", text_col: str = "text", text_bytes: int = 1 << 20, **options) -> OrdinalModel:
     """A model from about ``per_grade`` rated documents of each grade; ``ratings`` has the id and an int ``grade``.
 
-    Null grades, null texts and ratings without a document are not learned from; a document with several ratings
-    counts with its lowest. Without any rating every document gets the same tails.
+    Null grades, null texts, texts of more than ``text_bytes`` bytes and ratings without a document are not learned from; a document with several ratings
+    counts with its lowest, and of an id's several texts one is learned from. Without any rating every document gets the same tails.
     """
     one = ratings.filter("grade is not null").groupBy(id_col).agg(F.min("grade").alias("grade"))
     some = bounded_ids(one, "grade", id_col, per_grade)
-    picked = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(some), id_col)  # at most per_grade a grade
+    picked = docs.select(id_col, text_col).filter(F.octet_length(text_col) <= text_bytes).join(F.broadcast(some), id_col)  # at most per_grade a grade
+    picked = picked.groupBy(id_col, "grade").agg(F.min(text_col).alias(text_col)).select(id_col, text_col, "grade")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
