@@ -97,6 +97,7 @@ class OrdinalModel:
         often = np.bincount(cols, minlength=SIZE)[cols] >= least_docs  # rarer features are no evidence
         rows, cols = rows[often], cols[often]
         used, col = np.unique(cols, return_inverse=True)
+        col = col.astype(np.int32)
         share = np.bincount(grades, minlength=levels)
         importance = (1.0 / np.maximum(1, share))[grades] / max(1, (share > 0).sum())
         above = grades[:, None] >= np.arange(1, levels)[None, :]
@@ -160,11 +161,12 @@ def fit(docs: DataFrame, ratings: DataFrame, levels: int = 3, per_grade: int = 3
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(cols[order], pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("grade"), lists], names=["id", "grade", "cols"])
 
-    found = picked.mapInArrow(tidied(describe), f"id {docs.schema[id_col].dataType.simpleString()}, grade int, cols array<int>").toPandas()
-    found = found.sort_values("id", kind="stable")
-    lengths = np.array([len(c) for c in found["cols"]], np.int64)
-    cols = np.concatenate(found["cols"].tolist()).astype(np.int64) if len(found) else np.zeros(0, np.int64)
-    return OrdinalModel.fit(np.repeat(np.arange(len(found)), lengths), cols, found["grade"].to_numpy(np.int64), levels, **options)
+    found = picked.mapInArrow(tidied(describe), f"id {docs.schema[id_col].dataType.simpleString()}, grade int, cols array<int>").toArrow()
+    found = found.sort_by("id").combine_chunks()  # one row an id; columns stay packed, as a list a row would take several times their memory
+    lists = found["cols"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    rows = np.repeat(np.arange(len(found), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return OrdinalModel.fit(rows, lists.flatten().to_numpy(), found["grade"].to_numpy().astype(np.int64), levels, **options)
 
 
 def score(docs: DataFrame, model: OrdinalModel, levels: int = 3, text_col: str = "text") -> DataFrame:
