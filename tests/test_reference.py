@@ -11,7 +11,7 @@ from pyspark.sql import Window, functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.functions.arrow import BLOCK, normal, plain_text
-from tidemark.operators import asof, canonical, context, evidence, linker, reaction, recency, selection
+from tidemark.operators import asof, canonical, components, context, evidence, linker, reaction, recency, selection
 from tidemark.sources import news, rss
 
 HEADER = "headline_or_text,source_name,source_url,source_published_at,observed_time,event_time,discovery_record_id"
@@ -109,6 +109,78 @@ def test_first_fit_equals_the_ordered_scan(spark):
     assert {r.i: r.group_id for r in got.collect()} == want
 
 
+def _scan(rows):
+    urls, keys, kept = set(), set(), []
+    for i, u, k in rows:
+        if (u is None or u not in urls) and (k is None or k not in keys):
+            urls |= {u} - {None}
+            keys |= {k} - {None}
+            kept.append(i)
+    return kept
+
+
+def test_dedupe_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """10,000 rows, each sharing its url with the one before and its key with the one after: the rounds grow with the logarithm."""
+    cuts = []
+    for module in (canonical, components):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: cuts.append(1) or cut(df))
+    rows = [(i, f"u{i // 2}", f"k{(i + 1) // 2}") for i in range(10_000)]
+    got = canonical.two_key_dedupe(spark.createDataFrame(rows, "i int, u string, k string"), "u", "k", "i")
+    assert sorted(r.i for r in got.collect()) == _scan(rows)
+    assert len(cuts) < 40
+
+
+def test_dedupe_of_groups_beyond_one_task(spark):
+    """A chain above the bound of a task goes on in rounds; a hot url with a third of the rows never meets a task whole."""
+    rng = random.Random(3)
+    rows = [(i, "hot" if i % 3 == 0 else f"u{i // 2}", rng.choice([None, f"k{(i + 1) // 2}"])) for i in range(150)]
+    got = canonical.two_key_dedupe(spark.createDataFrame(rows, "i int, u string, k string").repartition(5), "u", "k", "i", first_rounds=1, at_once=4)
+    assert sorted(r.i for r in got.collect()) == _scan(rows)
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(70)] + [(200, 200), (None, 1)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges[:-1]:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    got = components.components(spark.createDataFrame(edges, "a int, b int")).collect()
+    assert {r.node: r.component for r in got} == {x: root(x) for x in list(parent)} and len(got) == len(parent)
+
+
+def test_first_fit_divides_a_hot_key_at_gaps(spark):
+    """One key with all rows: 40 sessions of 500 rows in shuffled id order, many tasks, the ordered scan's groups; also before time zero and for a null key."""
+    rng = random.Random(5)
+    times = [s * 1000 + rng.randint(0, 300) for s in range(-20, 20) for _ in range(500)]
+    rng.shuffle(times)
+    rows = [(i, None, t) for i, t in enumerate(times)]
+    groups, want = [], {}
+    for i, _, t in rows:
+        for g in groups:
+            if max(g[1], t) - min(g[0], t) <= 100:
+                g[0], g[1] = min(g[0], t), max(g[1], t)
+                break
+        else:
+            g = [t, t, i]
+            groups.append(g)
+        want[i] = g[2]
+    frame = spark.createDataFrame(rows, "i int, k string, t long").repartition(3)
+    assert canonical.sessions(frame, ["k"], "t", 100).select("_session").distinct().count() == 40
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = canonical.first_fit(frame, ["k"], "i", "t", 100).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.i: r.group_id for r in got} == want and len({r.task for r in got}) == 4
+
+
 def test_asof_join_on_boundaries(spark):
     t = lambda h, m=0: dt.datetime(2024, 1, 1 + h // 24, h % 24, m)
     quotes = [("a", t(9), t(9), 1, 1.0), ("a", t(10), t(12), 2, 2.0), ("a", t(10), t(10), 3, 3.0), ("b", t(1), t(60), 4, 4.0), ("a", None, t(1), 5, 5.0)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.lexicons import RATE_DECISION
 from ..functions.scalars import event_id
 from ..lineage import cut
+from .components import components
 
 SIX_HOURS = 21_600_000_000
 
@@ -19,25 +21,70 @@ def micros(at: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at)
 
 
-def two_key_dedupe(rows: DataFrame, url: str, key: str, order: str) -> DataFrame:
+def _round(rows: DataFrame, url: str, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, undecided): the first undecided row of its url and of its key stays, what shares one with it goes."""
+    by_url = rows.filter(F.col(url).isNotNull()).groupBy(url).agg(F.min(order).alias("_u"))
+    by_key = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_k"))
+    firsts = rows.join(by_url, url, "left").join(by_key, key, "left")
+    stay = firsts.filter(F.coalesce(F.col("_u") == F.col(order), F.lit(True)) & F.coalesce(F.col("_k") == F.col(order), F.lit(True)))
+    stay = cut(stay.select(*rows.columns))
+    rest = rows.join(stay.select(order), order, "left_anti")
+    rest = rest.join(stay.filter(F.col(url).isNotNull()).select(url).distinct(), url, "left_anti")
+    return stay, cut(rest.join(stay.filter(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti").select(*rows.columns))
+
+
+def _grouped(rows: DataFrame, url: str, key: str, order: str) -> DataFrame:
+    """``rows`` with ``_group``: rows linked by any chain of shared urls and keys carry the same one, the first row's order."""
+    to_first = lambda name: rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.min(order).alias("b"))
+    ends = [rows.filter(F.col(name).isNotNull()).join(to_first(name), name).select(F.col(order).alias("a"), "b") for name in (url, key)]
+    found = components(ends[0].unionByName(ends[1]))
+    return cut(rows.join(found.withColumnRenamed("node", order).withColumnRenamed("component", "_group"), order))
+
+
+def _scanned(rows: DataFrame, url: str, key: str, order: str) -> DataFrame:
+    """The rows that the ordered scan keeps, one group after the other; only one group's keys are held at a time."""
+    columns = [c for c in rows.columns if c != "_group"]
+    sorted_rows = rows.select("_group", order, url, key).repartition("_group").sortWithinPartitions("_group", order)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, urls, keys = None, set(), set()
+        for pdf in frames:
+            keep = []
+            for group, u, k in zip(pdf["_group"], pdf[url], pdf[key]):
+                if group != current:
+                    current, urls, keys = group, set(), set()
+                stays = not (pd.notna(u) and u in urls) and not (pd.notna(k) and k in keys)
+                if stays:
+                    urls.add(u)
+                    keys.add(k)
+                keep.append(stays)
+            yield pdf.loc[keep, [order]]
+
+    kept = sorted_rows.mapInPandas(scan, T.StructType([rows.schema[order]]))
+    return rows.select(*columns).join(kept, order, "left_semi")
+
+
+def two_key_dedupe(rows: DataFrame, url: str, key: str, order: str, first_rounds: int = 2, at_once: int = 500_000) -> DataFrame:
     """Rows that no earlier kept row shares a url or key with; a skipped row registers neither, rows without either stay.
 
-    In rounds: the first undecided row of its url and of its key stays, what shares one with it goes. A round is two minima and
-    three joins, so no group is gathered in one task; ``order`` must be unique.
+    A few rounds of minima and joins settle large groups of copies without gathering any. What is left open hangs together in chains of shared urls
+    and keys: contraction finds these in logarithmically many rounds, and each of at most ``at_once`` rows is scanned in order by one task. Larger ones
+    take more rounds of minima, which also break them, and are contracted again. ``order`` must be unique and of a plain type.
     """
-    open_rows, kept = cut(rows), None
+    open_rows, kept, rounds = cut(rows), [], max(1, first_rounds)
     while True:
-        by_url = open_rows.filter(F.col(url).isNotNull()).groupBy(url).agg(F.min(order).alias("_u"))
-        by_key = open_rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_k"))
-        firsts = open_rows.join(by_url, url, "left").join(by_key, key, "left")
-        stay = firsts.filter(F.coalesce(F.col("_u") == F.col(order), F.lit(True)) & F.coalesce(F.col("_k") == F.col(order), F.lit(True)))
-        stay = cut(stay.select(*rows.columns))
-        kept = stay if kept is None else kept.unionByName(stay)
-        rest = open_rows.join(stay.select(order), order, "left_anti")
-        rest = rest.join(stay.filter(F.col(url).isNotNull()).select(url).distinct(), url, "left_anti")
-        open_rows = cut(rest.join(stay.filter(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti").select(*rows.columns))
+        for _ in range(rounds):
+            stay, open_rows = _round(open_rows, url, key, order)
+            kept.append(stay)
+            if open_rows.isEmpty():
+                return reduce(DataFrame.unionByName, kept)
+        grouped = _grouped(open_rows, url, key, order)
+        large = grouped.groupBy("_group").count().filter(F.col("count") > at_once).select("_group")
+        kept.append(cut(_scanned(grouped.join(large, "_group", "left_anti"), url, key, order).select(*rows.columns)))
+        open_rows = cut(grouped.join(large, "_group", "left_semi").select(*rows.columns))
         if open_rows.isEmpty():
-            return kept
+            return reduce(DataFrame.unionByName, kept)
+        rounds = 2 * rounds
 
 
 def rate_signature(title: Column) -> Column:
@@ -55,29 +102,53 @@ def rate_signature(title: Column) -> Column:
     )
 
 
+def sessions(rows: DataFrame, keys: list[str], at: str, span: int) -> DataFrame:
+    """``rows`` with ``_session``, numbered within a key: a gap of more than ``span`` between neighbours in time begins the next.
+
+    Times meet as first and last of buckets of the span (no bucket holds a gap), so the window runs over a key's buckets, not its rows.
+    """
+    bucket = F.col(at) - F.pmod(F.col(at), F.lit(span + 1))
+    held = rows.groupBy(*keys, bucket.alias("_bucket")).agg(F.min(at).alias("_from"), F.max(at).alias("_to"))
+    order = Window.partitionBy(*keys).orderBy("_bucket")
+    begins = F.coalesce(F.col("_from") - F.lag("_to").over(order) > span, F.lit(True)).cast("long")
+    numbered = held.withColumn("_begins", begins).withColumn("_session", F.sum("_begins").over(order))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.col("l._bucket").eqNullSafe(F.col("r._bucket"))]
+    joined = rows.withColumn("_bucket", bucket).alias("l").join(numbered.alias("r"), reduce(Column.__and__, same), "left")
+    return joined.select(*[F.col(f"l.{c}") for c in rows.columns], F.col("r._session").alias("_session"))
+
+
 def first_fit(rows: DataFrame, keys: list[str], row_id: str, at: str, span: int) -> DataFrame:
     """(row_id, group_id): rows of one key in id order join the first group that stays within ``span``, else open one.
 
-    The fold is order-dependent; it streams over sorted partitions and holds only the open groups of one key.
-    ``group_id`` is the group's first row id.
+    A gap in time of more than ``span`` divides a key into sessions that share no group, and each is folded by itself, so a hot key spreads over its
+    sessions. The fold is order-dependent; it streams over sorted partitions and holds the groups of one session, each found by its place in time: a row
+    looks only at groups that begin within a span of it. ``group_id`` is the group's first row id; times must not be null.
     """
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, row_id)
+    parts = [*keys, "_session"]
+    ordered = sessions(rows.select(*keys, row_id, at), keys, at, span).repartition(*parts).sortWithinPartitions(*parts, row_id)
+    width = span + 1
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, groups = None, []
+        current, places, opened = None, {}, 0
         for pdf in frames:
             out = []
-            for *key, ident, t in pdf[[*keys, row_id, at]].itertuples(index=False, name=None):
+            for *key, ident, t in pdf[[*parts, row_id, at]].itertuples(index=False, name=None):
+                key = [None if pd.isna(k) else k for k in key]
                 if key != current:
-                    current, groups = key, []
-                for g in groups:
-                    if max(g[1], t) - min(g[0], t) <= span:
-                        g[0], g[1] = min(g[0], t), max(g[1], t)
-                        break
+                    current, places, opened = key, {}, 0
+                near = [g for p in (t // width - 1, t // width, t // width + 1) for g in places.get(p, ())]
+                fits = [g for g in near if max(g[1], t) - min(g[0], t) <= span]
+                if fits:
+                    g = min(fits, key=lambda g: g[2])
+                    if t < g[0] and t // width != g[0] // width:
+                        places[g[0] // width].remove(g)
+                        places.setdefault(t // width, []).append(g)
+                    g[0], g[1] = min(g[0], t), max(g[1], t)
                 else:
-                    g = [t, t, ident]
-                    groups.append(g)
-                out.append((ident, g[2]))
+                    g = [t, t, opened, ident]
+                    opened += 1
+                    places.setdefault(t // width, []).append(g)
+                out.append((ident, g[3]))
             yield pd.DataFrame(out, columns=[row_id, "group_id"])
 
     kind = rows.schema[row_id].dataType
