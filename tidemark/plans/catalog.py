@@ -575,7 +575,7 @@ def stream_first_seen(spark, sf_dir):
 
 
 def _with_views() -> None:
-    from . import known, views  # noqa: F401  (these register their queries)
+    from . import guarded, known, views  # noqa: F401  (these register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
