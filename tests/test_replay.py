@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import canonical_json as C
-from tidemark.operators import ledger, replay
+from tidemark.operators import freezes, ledger, replay
 
 EID = "canonical-event-v0-" + "a" * 64
 DAY = 1791331200000000  # 2026-10-07
@@ -103,6 +103,31 @@ def test_digests_are_those_of_the_canonical_text(seeded):
     assert got.macroview_id == "macroview-freeze-v0-" + sha(result)
 
 
+def test_freezes_are_stored_once_and_proven_again(spark, seeded):
+    made = freezes.frozen(seeded, at("10:30"), at("10:31"), "K").checkpoint()
+    (row,) = made.collect()
+    body = json.loads(row.payload)
+    text = json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert text == row.payload and hashlib.sha256(text.encode()).hexdigest() == row.payload_sha256
+    assert body.pop("macroview_id") == row.macroview_id == "macroview-freeze-v0-" + hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    assert body["provenance"]["snapshot_sha256"] == row.snapshot_sha256
+    again = made.withColumn("created_us", F.col("created_us") + 5)
+    assert freezes.added(made, again).isEmpty()
+    assert freezes.added(made.limit(0), made.unionByName(again)).first().created_us == at("10:31")
+    assert freezes.added(made.withColumn("payload", F.lit("{}")), again).first().fault == "FREEZE_INTEGRITY_FAILED"
+    later = freezes.frozen(seeded, at("11:00"), at("11:00"), "K")
+    listed = freezes.listed(made.unionByName(later)).orderBy("place").collect()
+    assert [(r.place, r.fault, r.created_us, r.expectation_state) for r in listed] == [(1, None, at("10:31"), "EXPECTATION_PRESENT"), (2, None, at("11:00"), "NONE")] and listed[0].unknowns == body["unknowns"]
+    damages = {"payload": "{}", "payload_sha256": "x", "contract_version": "V9", "macroview_id": "m", "canonical_event_id": "e", "snapshot_sha256": "s"}
+    broken = [made.withColumn(c, F.lit(v)) for c, v in damages.items()] + [made.withColumn("payload", F.lit(None).cast("string"))]
+    for one in broken[1:]:
+        broken[0] = broken[0].unionByName(one)
+    assert {(r.fault, r.fact_state, r.unknowns) for r in freezes.listed(broken[0]).collect()} == {("FREEZE_INTEGRITY_FAILED", None, None)}
+    for wrong in [(at("10:30"), at("10:29"), "K"), (0, 0, " "), (0, 0, "k" * 1001)]:
+        with pytest.raises(ValueError):
+            freezes.frozen(seeded, *wrong)
+
+
 CASES = [
     ([state("n1", "n9"), news("n1")], "PARTIAL_OBSERVATIONS"), ([state(), news("n1")], "PARTIAL_OBSERVATIONS"), ([state("n1"), news("n1", verification_status="FALSE")], "PARTIAL_OBSERVATIONS"),
     ([state("n1", verification_status="X"), news("n1")], "PARTIAL_OBSERVATIONS"), ([state("n1"), news("n1", event="other")], "PARTIAL_OBSERVATIONS"),

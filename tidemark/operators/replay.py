@@ -158,9 +158,9 @@ def market_state(rows: DataFrame, as_of_us: int, seen: DataFrame | None = None,
     return per.groupBy("canonical_event_id").agg(F.array_sort(F.collect_list(item)).alias("market_reality"))
 
 
-def rebuild(rows: DataFrame, as_of_us: int, asked: DataFrame | None = None, freeze_key: str | None = None, seen: DataFrame | None = None) -> DataFrame:
+def rebuild(rows: DataFrame, as_of_us: int, asked: DataFrame | None = None, freeze_key: str | None = None, seen: DataFrame | None = None, payload: bool = False) -> DataFrame:
     """One row an event as it stood at an instant: replay_status, unknowns, event, news, official_evidence, market_expectations (canonical texts), their ids,
-    fact_state, expectation_state, snapshot_sha256 and macroview_id.
+    fact_state, expectation_state, snapshot_sha256 and macroview_id; with ``payload`` also the frozen view's own canonical text.
 
     Without ``asked`` (canonical_event_id), all events that have a row by then. NO_OBSERVATIONS: no state of the event; PARTIAL_OBSERVATIONS: its references are
     not all observed, disagree, are none or more than 512 of a kind; the arrays are then null. Only events within the bound are gathered in arrays.
@@ -197,14 +197,14 @@ def rebuild(rows: DataFrame, as_of_us: int, asked: DataFrame | None = None, free
     key = freeze_key or "REPLAY_AS_OF/" + instant(as_of_us)
     held_parts = {p: F.coalesce(p, F.array().cast("array<struct<ident:string,row:string,timeless:boolean,unpriced:boolean>>")).alias(p) for p in PARTS}
     given = F.struct("canonical_event_id", "state", "context", "sound", *held_parts.values())
-    out = out.select("canonical_event_id", F.col("state").isNotNull().alias("stated"), C.using(given, lambda g: _assembled(g, key, instant(as_of_us, True))).alias("v"))
+    out = out.select("canonical_event_id", F.col("state").isNotNull().alias("stated"), C.using(given, lambda g: _assembled(g, key, instant(as_of_us, True), payload)).alias("v"))
     status = F.when(~F.col("stated"), "NO_OBSERVATIONS").when(F.col("v").isNotNull(), "AVAILABLE").otherwise("PARTIAL_OBSERVATIONS")
     reason = F.when(~F.col("stated"), F.array(F.lit("EVENT_NOT_OBSERVED_AT_AS_OF"))).otherwise(F.coalesce("v.unknowns", F.array(F.lit("REFERENCED_NEWS_NOT_OBSERVED"))))
-    shown = ["event", *PARTS, "news_article_references", "official_evidence_ids", "market_expectation_ids", "fact_state", "expectation_state", "snapshot_sha256", "macroview_id"]
+    shown = ["event", *PARTS, "news_article_references", "official_evidence_ids", "market_expectation_ids", "fact_state", "expectation_state", "snapshot_sha256", "macroview_id", *(["payload"] if payload else [])]
     return out.select("canonical_event_id", status.alias("replay_status"), reason.alias("unknowns"), *[F.col(f"v.{c}").alias(c) for c in shown])
 
 
-def _assembled(g: Column, key: str, frozen_at: str) -> Column:
+def _assembled(g: Column, key: str, frozen_at: str, payload: bool) -> Column:
     """The frozen view of one event of parts ``g``, or null where its references are not all there; every text is worked out once."""
     ids = {p: F.transform(g[p], lambda r: r["ident"]) for p in PARTS}
     rows = {p: F.transform(g[p], lambda r: r["row"]) for p in PARTS}
@@ -229,17 +229,20 @@ def _assembled(g: Column, key: str, frozen_at: str) -> Column:
 
         def sealed(s: Column) -> Column:
             provenance = {"snapshot_sha256": digest(s), "news_sha256": digest(t["news"]), "official_sha256": digest(t["official_evidence"]), "expectation_sha256": digest(t["market_expectations"])}
-            body = C.object_text({
+            body = {
                 "contract_version": F.lit('"MACROVIEW_FREEZE_V0"'), "canonical_event_id": C.quoted(g["canonical_event_id"]), "freeze_key": C.quoted(F.lit(key)), "frozen_at": C.quoted(F.lit(frozen_at)),
                 "news_article_references": list_text(ids["news"]), "official_evidence_ids": list_text(ids["official_evidence"]), "market_expectation_ids": list_text(ids["market_expectations"]),
                 "fact_state": C.quoted(fact_state), "expectation_state": C.quoted(expectation_state), "unknowns": list_text(unknowns), "snapshot": s, "provenance": C.object_text(provenance),
-            })
-            return F.struct(F.sha2(s, 256).alias("snapshot_sha256"), F.concat(F.lit("macroview-freeze-v0-"), F.sha2(body, 256)).alias("macroview_id"))
+            }
+            named = F.concat(F.lit("macroview-freeze-v0-"), F.sha2(C.object_text(body), 256))
+            whole_text = [C.object_text(body | {"macroview_id": C.quoted(named)}).alias("payload")] if payload else []
+            return F.struct(F.sha2(s, 256).alias("snapshot_sha256"), named.alias("macroview_id"), *whole_text)
 
         return C.using(C.using(snapshot, sealed), lambda z: F.struct(
             t["event"].alias("event"), *[rows[p].alias(p) for p in PARTS], ids["news"].alias("news_article_references"), ids["official_evidence"].alias("official_evidence_ids"),
             ids["market_expectations"].alias("market_expectation_ids"), fact_state.alias("fact_state"), expectation_state.alias("expectation_state"), unknowns.alias("unknowns"),
             z["snapshot_sha256"].alias("snapshot_sha256"), z["macroview_id"].alias("macroview_id"),
+            *([z["payload"].alias("payload")] if payload else []),
         ))
 
     texts_of = F.struct(C.object_text(texts).alias("event"), *[C.array_text(rows[p]).alias(p) for p in PARTS])

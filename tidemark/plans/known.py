@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import canonical_json as C
 from ..functions.lexicons import TOPICS
 from ..lineage import shared_folder
-from ..operators import assembly, canonical, replay
+from ..operators import assembly, canonical, freezes, replay
 from ..streaming import polls
 from .catalog import AS_OF, NOW, _ntz, _query, _read
 from .views import _ARTICLES, _VALID, _articles, _quoted, bank_decision_sql
@@ -86,6 +86,27 @@ def replay_rebuilt(spark, sf_dir):
     )
 
 
+# of five events one is stored whole with another text, one with another digest of its view, one with another text and its digest
+
+_DAMAGED = "user_id % 5 IN (0, 1, 2)"
+
+
+@_query(f"""WITH {_REBUILT}, k AS (SELECT j.*, user_id FROM j JOIN s USING (event) WHERE status = 'AVAILABLE')
+SELECT event AS canonical_event_id, 1 AS place, CASE WHEN {_DAMAGED} THEN 'FREEZE_INTEGRITY_FAILED' END AS fault, CASE WHEN NOT ({_DAMAGED}) THEN CASE WHEN official = 0 THEN 'NEWS_ONLY' ELSE 'PARTIAL_OFFICIAL_EVIDENCE' END END AS fact_state,
+CASE WHEN NOT ({_DAMAGED}) THEN CASE WHEN markets = 0 THEN 'NONE' ELSE 'EXPECTATION_PRESENT' END END AS expectation_state FROM k""")
+def freeze_list(spark, sf_dir):
+    made = freezes.frozen(ledger_rows(spark, sf_dir), AT_US, AT_US + 1, "DAILY")
+    user = F.get_json_object(F.get_json_object("payload", "$.snapshot.event"), "$.event_title")
+    titles = _read(spark, sf_dir, "events").select(F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("_title"), (F.col("user_id") % 5).alias("_kind"))
+    rows = made.withColumn("_title", user).join(titles, "_title")
+    other = F.concat("payload", F.lit(" "))
+    renamed = F.replace("payload", F.lit('"freeze_key":"DAILY"'), F.lit('"freeze_key":"WEEKLY"'))
+    rows = rows.withColumn("payload", F.when(F.col("_kind") == 0, other).when(F.col("_kind") == 2, renamed).otherwise(F.col("payload")))
+    rows = rows.withColumn("payload_sha256", F.when(F.col("_kind") == 2, F.sha2("payload", 256)).otherwise(F.col("payload_sha256")))
+    rows = rows.withColumn("snapshot_sha256", F.when(F.col("_kind") == 1, F.sha2("snapshot_sha256", 256)).otherwise(F.col("snapshot_sha256")))
+    return freezes.listed(rows.drop("_title", "_kind")).select("canonical_event_id", F.col("place").cast("int").alias("place"), "fault", "fact_state", "expectation_state")
+
+
 @_query(f"""WITH {_ROWS}, u AS (SELECT event_id FROM e UNION ALL SELECT event_id FROM v WHERE kind IN ('S', 'C', 'R'))
 SELECT r.event AS canonical_event_id, r.event_id, u.event_id IS NOT NULL AS active_at_as_of FROM r JOIN s ON s.event = r.event LEFT JOIN u ON u.event_id = r.event_id""")
 def replay_history(spark, sf_dir):
