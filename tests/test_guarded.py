@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import visibility
-from tidemark.sources import guarded
+from tidemark.sources import guarded, news
 
 ITEM = "<item><title>{}</title><link>{}</link></item>"
 GOOD = ITEM.format("Oil &amp; gas", "https://www.eia.gov/a#x")
@@ -162,3 +162,47 @@ def test_receipts_of_both_scopes_stand_together(spark):
     got = {(r.id, r.receipt_at, r.basis, r.data_usage_scope) for r in out.collect()}
     assert got == {(1, None, "REGISTRATION", public), (1, 4, "RECEIPT", public), (3, None, "REGISTRATION", private), (5, None, "REGISTRATION", "UNKNOWN"), (6, 3, "RECEIPT", private)}
     assert {r.id for r in visibility.public(out).collect()} == {1}
+
+
+T, U = "2025-03-06T13:15:00Z", "2025-03-06T14:00:00+01:00"
+PROJECTED = [
+    ({"observed_time": T, "event_time": U}, {"reported_time_kind": "REPORTED_TIME"}),
+    ({"observed_time": T, "event_time": "2025-03-06T14:15:00+01:00"}, {"reported_time_kind": "UNKNOWN", "reported_at": None}),
+    ({"observed_time": T, "event_time": T, "published_at": U}, {"reported_time_kind": "REPORTED_TIME", "source_published_at": None}),
+    ({"observed_time": "soon", "observed_at": T}, {"observed_at": None}),
+    ({"source_published_at": "2025-03-06", "published_at": U}, {"reported_time_kind": "UNKNOWN"}),
+    ({"event_time": U, "event_time_is_proxy": " True"}, {"reported_time_kind": "SOURCE_DATE_PROXY"}),
+    ({"event_time": U, "source_name": "GDELT", "source_publisher": "P"}, {"reported_time_kind": "SOURCE_DATE_PROXY", "source_name": "P"}),
+    ({"published_at": U, "source_name": "gdelt"}, {"reported_time_kind": "REPORTED_TIME", "source_name": "gdelt"}),
+    ({"published_at": U, "collector": "federal_register"}, {"reported_time_kind": "SOURCE_DATE_PROXY"}),
+    ({"title": " <b>Oil</b> &amp;  gas", "headline_or_text": "x"}, {"title": "Oil & gas", "raw_title": " <b>Oil</b> &amp;  gas", "news_summary": "x"}),
+    ({"title": " ", "headline": "a \t b"}, {"title": "a b", "news_summary": None, "article_reference": None}),
+    ({"item_reference": "i", "discovery_record_id": "d", "url": "https://x/1"}, {"article_reference": "i", "source_url": "https://x/1"}),
+    ({"url": "ftp://x/1"}, {"article_reference": None, "source_url": None}),
+    ({"source_url": "https://x/1", "url": "https://x/2"}, {"article_reference": "https://x/1"}),
+    ({"canonical_event_id": "e", "identity_evidence_ref": "r", "identity_status": "CANONICAL"}, {"event_id": "e", "identity_status": "VERIFIED_BY_SOURCE", "identity_evidence_ref": "r"}),
+    ({"canonical_event_id": "e", "identity_evidence_ref": "r", "identity_status": "GUESS"}, {"event_id": None, "identity_status": "UNKNOWN", "identity_evidence_ref": None}),
+    ({"event_family": "f"}, {"event_family": "f", "event_family_status": "PROVISIONAL", "geography_status": "UNKNOWN", "verification_status": "UNVERIFIED_NEWS"}),
+]
+
+
+def test_items_take_the_first_alias_and_prove_nothing(spark):
+    names = [*news.COLUMNS, "collector"]
+    rows = [(i, *[given.get(n) for n in names]) for i, (given, _) in enumerate(PROJECTED)]
+    frame = spark.createDataFrame(rows, "_row int, " + ", ".join(f"{n} string" for n in names))
+    for i, (given, want) in enumerate(PROJECTED):
+        (got,) = news.items(frame.filter(F.col("_row") == i)).collect()
+        assert {n: got[n] for n in want} == want, given
+
+
+def test_states_join_by_record_and_the_last_row_stands(spark):
+    found = spark.createDataFrame([("d1",), ("d2",), ("d3",), (None,)], "discovery_record_id string")
+    official = spark.createDataFrame([("d1", "p1"), ("d2", "p2"), ("d2", "p2"), ("d3", "")], "discovery_record_id string, artifact_fingerprint string")
+    states = [("d1", None, "OLD", None, 1), (" ", "d1", " ", "NEW", 2), ("d3", "d1", "HELD", None, 3), (None, None, "X", None, 4)]
+    macros = [("d9", "d1", True, "p0", 1), ("d9", "d1", True, "p1", 2), ("d9", "d1", False, "p7", 3), ("d2", None, True, "p2", 4), ("d3", None, True, "", 5)]
+    out = news.with_states(
+        found, official, spark.createDataFrame(states, "discovery_record_id string, event_reference string, expectation_state string, linkage_state string, arrival int"),
+        spark.createDataFrame(macros, "discovery_record_id string, event_reference string, sealed boolean, event_reality_reference string, arrival int"), "EMPTY",
+    )
+    got = {r.discovery_record_id: (r.expectation_status, r.macroview_status) for r in out.collect()}
+    assert got == {"d1": ("NEW", "AVAILABLE"), "d2": (None, "EMPTY"), "d3": ("HELD", "EMPTY"), None: (None, "EMPTY")}
