@@ -397,6 +397,10 @@ def test_market_parse_watch_and_snapshot(spark):
     got = {r.market_id: r.prices for r in parsed.collect()}
     assert got == {"1": ["0.6200", "0.38"], "2": None, "3": None}
     assert [(r.market_id, r.category, r.reason) for r in market.watch(parsed).orderBy("position").collect()] == [("1", "MONETARY_POLICY", "QUESTION:fed"), ("2", "ENERGY", "QUESTION:oil")]
+    assert [(r.category, r.markets) for r in market.category_counts(market.watch(parsed)).orderBy("place").collect()] == [("MONETARY_POLICY", 1), ("ENERGY", 1)]
+    assert {r.market_id: r.outcome_type for r in market.watch(parsed).collect()} == {"1": "BINARY", "2": "UNKNOWN"}
+    cases = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", None), ("e", None)], "case string, kind string")
+    assert [tuple(r) for r in reaction.comparable_pairs(cases, "case", ["kind"]).collect()] == [("a", "b", "x")]
     at = lambda s: dt.datetime(2026, 10, 1, 14, 0) + dt.timedelta(seconds=s)
     quotes = [("e", "SPY", at(m * 60 - 30), at(m * 60 - 10), f"o{m}", 490.0 + m) for m in (0, 5, 7, 30, 60)] + [("e", "SPY", at(29 * 60), at(31 * 60), "late", 1.0)]
     obs = spark.createDataFrame(quotes, "event_id string, symbol string, market_ts timestamp_ntz, observed_at timestamp_ntz, id string, value double")

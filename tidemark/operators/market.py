@@ -37,13 +37,24 @@ def parse_markets(rows: DataFrame, most: int = 20) -> DataFrame:
     return one.select("market_id", "lo.*").orderBy("market_id").limit(most)
 
 
+def outcome_type(labels: Column) -> Column:
+    """BINARY for two labels, MULTI_OUTCOME for more, else UNKNOWN."""
+    return F.when(F.size(labels) == 2, "BINARY").when(F.size(labels) > 2, "MULTI_OUTCOME").otherwise("UNKNOWN")
+
+
+def category_counts(watched: DataFrame) -> DataFrame:
+    """(category, markets, place) of a watch list: how many markets each category has, in the order of the categories; none of what has none."""
+    place = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category")).cast("int")
+    return watched.groupBy("category").agg(F.count("*").alias("markets")).withColumn("place", place)
+
+
 def watch(markets: DataFrame, titles: str | None = None, most: int = 20) -> DataFrame:
     """The watch list: category, reason, outcome type and phase of the markets that a round robin over phases and categories chooses."""
     context = F.col(titles) if titles else F.array().cast("array<string>")
     kind = category(F.col("question"), F.array_join(context, " "))
     phase = F.when(F.coalesce("closed", F.lit(False)) | F.coalesce("archived", F.lit(False)), 2).when(F.col("active") & ~F.col("closed"), 0).otherwise(1)
     rows = markets.withColumn("category", kind).withColumn("phase", phase).withColumn("reason", relevance_reason(F.col("question"), context, F.col("category")))
-    rows = rows.withColumn("outcome_type", F.when(F.size("outcomes") == 2, "BINARY").when(F.size("outcomes") > 2, "MULTI_OUTCOME").otherwise("UNKNOWN"))
+    rows = rows.withColumn("outcome_type", outcome_type(F.col("outcomes")))
     return selection.round_robin(rows.filter("category is not null"), "phase", "category", CATEGORIES, [F.col("market_id").cast("string")], most)
 
 

@@ -46,6 +46,6 @@ def reaction(rates: DataFrame, event_date: str) -> DataFrame:
 
 
 def comparable_pairs(cases: DataFrame, case_id: str, attributes: list[str]) -> DataFrame:
-    """Pairs of cases with equal attributes, each once."""
+    """(a, b, attributes) of the pairs of cases with equal attributes, each once; a null attribute compares with nothing."""
     side = lambda x: cases.select(*attributes, F.col(case_id).alias(x))
-    return side("a").join(side("b"), attributes).filter("a < b").select("a", "b")
+    return side("a").join(side("b"), attributes).filter("a < b").select("a", "b", *attributes)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
-from ..operators import asof, canonical, recency, selection, versions
+from ..operators import asof, canonical, market, reaction, recency, selection, versions
 
 NOW, AS_OF = "2024-01-30 00:00:00", "2024-01-20 12:00:00"
 _found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -345,8 +345,8 @@ def content_identity(spark, sf_dir):
 
 @_query("""SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_nationkey AS nation FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey""")
 def pair_comparable(spark, sf_dir):
-    side = lambda x: _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(x), F.col("s_nationkey").alias("nation"))
-    return side("a").join(side("b"), "nation").filter("a < b").select("a", "b", "nation")
+    cases = _read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
+    return reaction.comparable_pairs(cases, "s_suppkey", ["nation"])
 
 
 @_query("""SELECT r_regionkey AS region, n_nationkey AS nation, CASE WHEN r_regionkey <> n_regionkey THEN 'NO_MATCH' WHEN substr(n_name, 1, 1) = substr(r_name, 1, 1) THEN 'LINKED' WHEN length(n_name) > 8 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'AMBIGUOUS' END AS link_status FROM region, nation""")
@@ -534,8 +534,7 @@ def marker_groups(spark, sf_dir):
 
 @_query("""WITH o AS (SELECT p_partkey, string_split(p_type, ' ') AS labels FROM part) SELECT p_partkey, CASE WHEN len(labels) = 2 THEN 'BINARY' WHEN len(labels) > 2 THEN 'MULTI_OUTCOME' ELSE 'UNKNOWN' END AS outcome_type FROM o""")
 def outcome_type(spark, sf_dir):
-    n = F.size(F.split("p_type", " "))
-    return _read(spark, sf_dir, "part").select("p_partkey", F.when(n == 2, "BINARY").when(n > 2, "MULTI_OUTCOME").otherwise("UNKNOWN").alias("outcome_type"))
+    return _read(spark, sf_dir, "part").select("p_partkey", market.outcome_type(F.split("p_type", " ")).alias("outcome_type"))
 
 
 @_query("""WITH e AS (SELECT conv_id AS thread, 'NEWS' AS kind, turn AS t, role || ':' || turn AS id FROM conversations UNION ALL SELECT user_id, 'OFFICIAL', event_id, event_type || ':' || event_id FROM events WHERE event_type = 'signup')

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import visibility
-from ..sources import guarded
+from ..sources import guarded, news
 from .catalog import _query, _read
 
 # Feeds: 20 pages each; of every eight feeds one has a DOCTYPE, a cut end, another root, no titles, each item twice, too many bytes.
@@ -92,6 +92,33 @@ def evidence_file_rows(spark, sf_dir):
     return guarded.evidence_rows(_evidence(spark, sf_dir), ["title", "event_family", "summary"]).drop("place")
 
 
+# Items of news rows, whose aliases, clocks and marks come in all mixtures
+
+_NAMED = ["title", "article_reference", "event_id", "identity_status", "reported_time_kind", "source_name", "collector"]
+
+
+@_query("""WITH n AS (SELECT *, date_trunc('second', ts) AS o, event_id % 6 AS k, event_id % 5 AS p FROM events),
+r AS (SELECT *, CASE WHEN p = 0 THEN o - INTERVAL 2 HOUR WHEN p = 2 THEN o - INTERVAL 3 HOUR END AS published FROM n),
+q AS (SELECT *, coalesce(published, CASE WHEN event_id % 4 = 1 THEN o - INTERVAL 1 HOUR END) AS reported FROM r)
+SELECT CASE WHEN event_id % 2 = 0 THEN 'T' ELSE 'H' END || event_id AS title, CASE event_id % 3 WHEN 0 THEN 'd' || event_id WHEN 1 THEN 'https://x/' || event_id END AS article_reference,
+CASE WHEN event_id % 8 = 0 THEN 'e' || event_id END AS event_id, CASE WHEN event_id % 8 = 0 THEN 'VERIFIED_BY_SOURCE' ELSE 'UNKNOWN' END AS identity_status,
+CASE WHEN reported IS NULL THEN 'UNKNOWN' WHEN event_id % 7 = 0 OR k = 1 OR (k = 0 AND published IS NULL) THEN 'SOURCE_DATE_PROXY' ELSE 'REPORTED_TIME' END AS reported_time_kind, event_type AS source_name,
+CASE k WHEN 0 THEN 'gdelt' WHEN 1 THEN 'federal_register' WHEN 2 THEN 'rss' END AS collector, epoch_us(reported) AS reported_us FROM q""")
+def news_items(spark, sf_dir):
+    n = F.col("event_id")
+    at = lambda hours: F.date_format(F.col("ts") - F.expr(f"interval {hours} hours"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    by = lambda m, *values: F.element_at(F.array(*[v if not isinstance(v, str) else F.lit(v) for v in values]), (n % m + 1).cast("int"))
+    none, number = F.lit(None).cast("string"), n.cast("string")
+    given = {
+        "observed_time": at(0), "event_time": by(4, at(0), at(1), none, "bad"), "source_published_at": by(5, at(2), "2024-01-01", none, none, none), "published_at": by(5, none, at(3), at(3), none, none),
+        "event_time_is_proxy": F.when(n % 7 == 0, " TRUE"), "discovery_record_id": F.when(n % 3 == 0, F.concat(F.lit("d"), number)), "url": F.when(n % 3 == 1, F.concat(F.lit("https://x/"), number)).otherwise("x"),
+        "title": F.when(n % 2 == 0, F.concat(F.lit("T"), number)).otherwise("  "), "headline_or_text": F.concat(F.lit("<b>H</b>"), number), "canonical_event_id": F.concat(F.lit("e"), number),
+        "identity_evidence_ref": F.lit("r"), "identity_status": by(8, "CANONICAL", "GUESS", none, none, none, none, none, none), "source_name": F.col("event_type"),
+    }
+    rows = _read(spark, sf_dir, "events").select(*[given.get(c, none).alias(c) for c in news.COLUMNS], by(6, "gdelt", "federal_register", "rss", none, none, none).alias("collector"))
+    return news.items(rows).select(*_NAMED, F.unix_micros("reported_at").alias("reported_us"))
+
+
 # Scopes
 
 _KNOWN = "1997-06-01"
