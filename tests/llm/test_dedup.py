@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -174,3 +175,29 @@ def test_line_winnowing_of_the_largest_id_and_none(spark):
     rows = [((1 << 63) - 1, body), (None, body), (3, "short")]
     got = {r.doc_id: (r.removed_lines, r.clean_text) for r in line_winnow.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[3] == (0, "short") and sorted([got[(1 << 63) - 1][0], got[None][0]]) == [0, 8]
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    from tidemark.llm import _cut
+
+    def held() -> set[str]:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {name for name in files.split("\n") if "shuffle_" in name}
+
+    rows = spark.range(0, 1000, 1, 4).selectExpr("id", "uuid() as u").repartition(7, "id")
+    before, setting = held(), spark.conf.get(_cut.CLEANUP, None)
+    out = _cut.cut(rows, "tidy")
+    until = time.monotonic() + 5
+    while held() - before and time.monotonic() < until:  # files go in the background
+        time.sleep(0.1)
+    assert not held() - before and spark.conf.get(_cut.CLEANUP, None) == setting and out.count() == 1000
+
+
+def test_pairs_meet_their_texts_in_pieces(spark, odd_docs, monkeypatch):
+    from tidemark.llm import ngram_join
+
+    rows = lambda: sorted(ngram_join.join(odd_docs).collect(), key=repr)
+    whole, real, pieces = rows(), ngram_join.cut, []
+    monkeypatch.setattr(ngram_join, "cut", lambda df, name: (pieces.append(name), real(df, name))[1])
+    monkeypatch.setattr(ngram_join, "PIECE", 1000)
+    assert rows() == whole and pieces.count("ngram-links") > 3 * pieces.count("ngram-pairs")
