@@ -433,3 +433,18 @@ def test_product_fails_beyond_its_bound_and_cuts_nothing(spark, tmp_path):
     assert query(spark, str(tmp_path / "full")).count() == 500
     with pytest.raises(ValueError, match="nation has 101 rows"):
         query(spark, str(tmp_path / "over"))
+
+
+def test_links_are_counted_before_pairs_are_written_out(spark):
+    days = [f"2026-10-{10 + i}" for i in range(4)]
+    events = [(i % 48, f"ECB to cut rates on {days[i % 4]}", None, dt.datetime(2026, 10, 2, 0, 0, 0, i % 2)) for i in range(60)]
+    e = spark.createDataFrame(events, "event_id long, event_title string, event_occurred_at timestamp, first_detected_at timestamp")
+    m = spark.createDataFrame(
+        [(*_market(None if i == 7 else i % 16, f"Will the ECB {'hold' if i % 3 else 'cut'} rates on {days[i % 4]}?").values(),) for i in range(18)],
+        "market_id long, question string, description string, resolution_criteria string, closed boolean, active boolean, incomplete boolean, observed_at timestamp, market_close_time timestamp, trusted boolean",
+    )
+    for rows, others in ((e, m), (e.limit(48), m.limit(16))):
+        want = [r for r in linker.link_events(rows, others).collect() if r.reason != "DIFFERENT_DATE_SCOPE"]
+        assert sorted(linker.links(rows, others).collect(), key=repr) == sorted(want, key=repr)
+    plan = linker.links(e.limit(48), m.limit(16))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
