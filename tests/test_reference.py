@@ -448,3 +448,14 @@ def test_links_are_counted_before_pairs_are_written_out(spark):
         assert sorted(linker.links(rows, others).collect(), key=repr) == sorted(want, key=repr)
     plan = linker.links(e.limit(48), m.limit(16))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_seals_are_worked_out_once(spark):
+    from tidemark.functions import canonical_json as C
+
+    rows = spark.createDataFrame([('{"b":1,"a":{"d":[1,{"z":"x","y":null}]}}',), ("[1]",), ("no",), (None,)], "doc string")
+    rows = rows.select("doc", C.fingerprint("doc").alias("seal"))
+    carried = F.concat(F.lit('{"artifact_fingerprint":"'), C.fingerprint("doc"), F.lit('",'), F.substring("doc", F.lit(2), F.length("doc")))
+    out = rows.select(C.sealed(carried).alias("sealed"))
+    assert [r.sealed for r in out.collect()] == [True, False, False, False]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 4

@@ -86,21 +86,30 @@ def indented(text: Column | str) -> Column:
     return F.when(_col(text).isNotNull(), F.aggregate(token_list, start, put)["out"])
 
 
+def _without(text: Column, name: str) -> Column:
+    """``without`` of a text that is canonical already."""
+
+    def shown(held: Column) -> Column:
+        keys = F.array_sort(F.filter(F.map_keys(held), lambda k: k != name))
+        return F.concat_ws(",", F.transform(keys, lambda k: F.concat(quoted(k), F.lit(":"), F.coalesce(F.to_json(held[k]), F.lit("null")))))
+
+    return F.when(F.startswith(text, F.lit("{")), F.concat(F.lit("{"), using(F.from_json(text, "map<string, variant>"), shown), F.lit("}")))
+
+
 def without(document: Column | str, name: str) -> Column:
     """The canonical text of a JSON object without one top-level member; null for what is no object."""
-    entries = F.from_json(canonical(document), "map<string, variant>")
-    kept = F.map_filter(entries, lambda k, v: k != name)
-    keys = F.array_sort(F.map_keys(kept))
-    shown = F.transform(keys, lambda k: F.concat(quoted(k), F.lit(":"), F.coalesce(F.to_json(kept[k]), F.lit("null"))))
-    is_object = F.coalesce(F.startswith(canonical(document), F.lit("{")), F.lit(False))
-    return F.when(is_object, F.concat(F.lit("{"), F.concat_ws(",", shown), F.lit("}")))
+    return using(canonical(document), lambda text: _without(text, name))
 
 
 def fingerprint(document: Column | str) -> Column:
     """SHA-256 of a JSON object without its own ``artifact_fingerprint``, indented by two, with a newline at the end; null for anything else."""
-    return F.sha2(F.concat(indented(without(document, "artifact_fingerprint")), F.lit("\n")), 256)
+    return using(without(document, "artifact_fingerprint"), lambda text: F.sha2(F.concat(indented(text), F.lit("\n")), 256))
 
 
 def sealed(document: Column | str) -> Column:
     """Whether a JSON object carries its own fingerprint."""
-    return F.coalesce(member(parsed(document), "artifact_fingerprint") == fingerprint(document), F.lit(False))
+    def own(text: Column) -> Column:
+        carried = lambda seal: F.when(F.length(seal) == 64, seal == fingerprint(text))  # noqa: E731 (no other length can be one)
+        return F.coalesce(using(member(parsed(text), "artifact_fingerprint"), carried), F.lit(False))
+
+    return using(_col(document), own)
