@@ -459,3 +459,17 @@ def test_seals_are_worked_out_once(spark):
     out = rows.select(C.sealed(carried).alias("sealed"))
     assert [r.sealed for r in out.collect()] == [True, False, False, False]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 4
+
+
+def test_resolution_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    from tidemark.operators import selection
+
+    rows = spark.range(70).select("id", F.col("id").cast("string").alias("a"), F.when(F.col("id") % 2 == 0, "two").alias("b"))
+    refs = spark.createDataFrame([(str(i), "x" if i % 3 else None) for i in range(60)] + [("two", "x"), ("two", "x"), ("5", "y")], "ref string, target string")
+    resolve = lambda: selection.resolve(rows, "id", ["a", "b"], refs, "ref", "target")
+    got = {r.id: (r.target, r.status) for r in resolve().collect()}
+    assert got[5] == (None, "AMBIGUOUS_REFERENCE") and got[8] == ("x", "EXPLICIT_UNIQUE_LINK") and got[64] == (None, "REFERENCE_NOT_FOUND")
+    monkeypatch.setattr(selection, "TASK_ROWS", 10)
+    many = resolve()
+    assert {r.id: (r.target, r.status) for r in many.collect()} == got
+    assert ", 7)" in many._jdf.queryExecution().executedPlan().toString()

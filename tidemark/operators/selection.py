@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Rows with references for one task.
+TASK_ROWS = 100_000
+
 
 def first_wins(rows: DataFrame, key: str, arrival: list[str]) -> DataFrame:
     """The first row of each key by arrival."""
@@ -63,14 +66,16 @@ def resolve(rows: DataFrame, row_id: str, columns: list[str], references: DataFr
     """
     pieces = F.array(*[F.struct(F.lit(i).alias("place"), F.trim(F.col(c).cast("string")).alias("ref")) for i, c in enumerate(columns)])
     asked = rows.select(row_id, F.explode(F.filter(pieces, lambda p: p["ref"].isNotNull() & (p["ref"] != ""))).alias("p")).select(row_id, "p.*")
-    found = references.groupBy(F.col(reference).alias("ref")).agg(F.count_distinct(target).alias("n"), F.min(target).alias("one"))
-    met = asked.join(found, "ref", "left")
-    failed = F.when(F.col("n").isNull(), "REFERENCE_NOT_FOUND").when(F.col("n") > 1, "AMBIGUOUS_REFERENCE")
+    least, most = F.min(target).alias("one"), F.max(target).alias("other")
+    found = references.groupBy(F.col(reference).alias("ref")).agg(least, most, F.lit(True).alias("known"))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))  # so a task's share does not grow with the input
+    met = asked.repartition(tasks, "ref").join(found.repartition(tasks, "ref"), "ref", "left").repartition(tasks, row_id)
+    failed = F.when(F.col("known").isNull(), "REFERENCE_NOT_FOUND").when(F.col("one") < F.col("other"), "AMBIGUOUS_REFERENCE")
     per_row = met.groupBy(row_id).agg(
         F.min(F.when(failed.isNotNull(), F.struct("place", failed.alias("why")))).alias("bad"), F.min("one").alias("lo"), F.max("one").alias("hi")
     )
     status = F.when(F.col("bad").isNotNull(), F.col("bad.why")).when(F.col("lo") != F.col("hi"), "CONFLICTING_REFERENCES").otherwise("EXPLICIT_UNIQUE_LINK")
-    out = rows.select(row_id).join(per_row, row_id, "left")
+    out = rows.select(row_id).repartition(tasks, row_id).join(per_row, row_id, "left")
     linked = F.col("bad").isNull() & (F.col("lo") == F.col("hi"))
     return out.select(
         row_id, F.when(linked, F.col("lo")).alias(target), F.when(F.col("lo").isNull() & F.col("bad").isNull(), "NO_EXPLICIT_REFERENCE").otherwise(status).alias("status")
