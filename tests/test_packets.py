@@ -124,6 +124,19 @@ def test_redaction_of_nested_documents(spark):
     }
 
 
+def test_redaction_opens_each_document_in_its_row(spark):
+    wide = {f"k{i:03}": [{"provider": "tiingo"} if i % 3 == 0 else None if i % 3 == 1 else {"market_observations": i, "é\"": i}] for i in range(300)}
+    texts = [json.dumps(wide), '{"": {"": []}, "market_observations": null, "market_reality_observations": {"a": 1}}', '{"a": "null", "b": null, "c": [null, "x"], "c2": 1.50}', '{"a": 1, "a": 2}', '"{["', "[[],{}]"] * 2
+    before = spark._jsc.sc().dagScheduler().numTotalJobs()
+    found = redacted(spark.createDataFrame(list(enumerate(texts)), "n int, v string"), "v")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert spark._jsc.sc().dagScheduler().numTotalJobs() == before and "Exchange" not in plan and "Join" not in plan
+    out = [v for _, v in sorted(map(tuple, found.collect()))]
+    assert out[:6] == out[6:]
+    assert json.loads(out[0]) == {k: [None, None, {"market_observations": [], 'é"': i}][i % 3 :][:1] if i % 3 == 2 else [] for i, k in enumerate(wide)}
+    assert out[1:6] == ['{"":{"":[]},"market_observations":[],"market_reality_observations":[]}', '{"a":"null","b":null,"c":["x"],"c2":1.5}', None, '"{["', "[[],{}]"]
+
+
 def test_research_as_of_and_bindings(spark):
     made = spark.createDataFrame([("EVENT", "x", "x"), ("NEWS", "a", "x"), ("NEWS", "b", "y"), ("SOURCE_STATE", "s", "x")], "observation_kind string, entity_id string, canonical_event_id string")
     made = made.withColumns({"source_timestamp": F.lit(None), "payload": F.lit("{}"), "provenance": F.lit("{}")})

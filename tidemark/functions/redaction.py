@@ -34,11 +34,3 @@ def forbidden(document: Column, private: str) -> Column:
         (scope.isNotNull() & ~C.member(document, "data_usage_scope").eqNullSafe(F.lit(PUBLIC))) | (F.lower(F.coalesce(C.member(document, "provider"), F.lit(""))) == private)
         | ((contract == OBSERVATION) & ~public(document, private)) | ((contract == SNAPSHOT) & F.exists(instruments, lambda i: used(i) & ~public(i, private)))
     )
-
-
-def members(text: Column) -> Column:
-    """(key, text) of the members of an object in key order, or of the items of an array (without keys)."""
-    shown = lambda v: F.coalesce(F.to_json(v), F.lit("null"))
-    held = lambda m: F.transform(F.array_sort(F.map_keys(m)), lambda k: F.struct(k.alias("key"), shown(m[k]).alias("text")))
-    items = F.transform(F.from_json(text, "array<variant>"), lambda v: F.struct(F.lit(None).cast("string").alias("key"), shown(v).alias("text")))
-    return F.when(F.startswith(text, F.lit("{")), C.using(F.from_json(text, "map<string, variant>"), held)).otherwise(items)

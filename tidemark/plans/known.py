@@ -207,7 +207,7 @@ def canonical_props(spark, sf_dir):
 || ',"deep":[[{"n":[' || CASE WHEN event_id % 2 = 0 THEN '{"a":null,"v":' || user_id || '}' ELSE '' END || ']}]],"market_observations":[],"market_reality_observations":[' || CASE WHEN event_id % 3 <> 0 THEN '{"data_usage_scope":"PUBLIC_REDISTRIBUTABLE","k":1}' ELSE '' END || '],"t":"' || event_type || '"}' END AS shown FROM events""")
 def redacted_documents(spark, sf_dir):
     """Nested documents without the members, rows and objects that may not be shown."""
-    from ..operators.redact import redacted
+    from ..operators.redact import dealt, redacted
 
     n, scope = F.col("event_id"), F.when(F.col("event_id") % 3 != 0, "PUBLIC_REDISTRIBUTABLE").otherwise("PRIVATE_RESEARCH_ONLY")
     none = F.lit(None).cast("string")
@@ -218,7 +218,8 @@ def redacted_documents(spark, sf_dir):
         F.array(F.array(F.struct(F.array(F.struct(F.col("user_id").alias("v"), F.array(none)[0].alias("a"), F.when(n % 2 == 1, "UNKNOWN").alias("data_usage_scope"))).alias("n")))).alias("deep"),
     ))
     with_null = F.replace(doc, F.lit('{"v":'), F.lit('{"a":null,"v":'))
-    return redacted(_read(spark, sf_dir, "events").select("event_id", with_null.alias("shown")), "shown")
+    rows = dealt(_read(spark, sf_dir, "events").select("event_id", "event_type", "user_id"))
+    return redacted(rows.select("event_id", with_null.alias("shown")), "shown")
 
 
 @_query("""WITH t AS (SELECT event_id, user_id, ts, event_type, lag(ts) OVER w AS before, lag(event_type) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
