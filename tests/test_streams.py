@@ -33,6 +33,19 @@ def test_versions_go_on_from_the_checkpoint_and_old_keys_leave(spark, tmp_path):
     assert {"a", "b", "old"} <= held[0] and held[-1] == {"d"} | ({"b"} & held[-1]) and "old" not in held[-1] and "a" not in held[-1]
 
 
+def test_versions_without_content_or_in_frames(spark, tmp_path):
+    schema, folder = "k string, n long, at timestamp, c string", str(tmp_path)
+    rows = spark.createDataFrame([(k, n, DAY + dt.timedelta(minutes=n // 2), c) for k in ("a", None) for n, c in enumerate([None, "None", None, None, "x"])], schema)
+    build = lambda stream: polls.content_versions(stream, "k", "at", ["n"], "c")
+    for part in ("n < 2", "n >= 2"):
+        rows.filter(part).write.mode("append").parquet(f"{folder}/in")
+        polls.advance(build, spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state")
+    out = spark.read.parquet(f"{folder}/out")
+    assert out.columns == ["k", "n", "at", "c", "change", "first_observed_us"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, polls.content_versions_batch(rows, "k", "at", ["n"], "c").collect()), key=str)
+    assert "Pandas" not in build(spark.readStream.schema(schema).parquet(f"{folder}/in"))._jdf.queryExecution().analyzed().toString()  # frames of a few rows cost milliseconds a key
+
+
 def test_a_batch_recorded_twice_counts_once(spark, tmp_path):
     made = spark.createDataFrame([(f"e{i}", f'{{"v":{i}}}') for i in range(6)], "entity_id string, payload string")
     made.coalesce(1).write.parquet(str(tmp_path / "in"))

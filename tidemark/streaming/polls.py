@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Row, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+
 
 def first_seen_batch(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row id of each key; what ``first_seen`` leaves after any number of polls in this order."""
@@ -36,11 +39,17 @@ class FirstSeen(StatefulProcessor):
         pass
 
 
+def _micros(clock: dt.datetime | None) -> int:
+    if clock is None:
+        return -(1 << 63)
+    return ((clock if clock.tzinfo else clock.replace(tzinfo=dt.timezone.utc)) - EPOCH) // dt.timedelta(microseconds=1)
+
+
 class Versions(StatefulProcessor):
     """Classifies rows of a key as NEW, UPDATED or DUPLICATE by their content; the first observed clock stays.
 
     A key whose last row is more than ``keep_us`` before is NEW again. A timer on the event clock drops the state of such keys, so what is kept follows the keys of the
-    last ``keep_us`` and the watermark's delay, not all keys ever seen.
+    last ``keep_us`` and the watermark's delay, not all keys ever seen. It takes rows, not data frames: a poll brings a key few of them, and frames cost milliseconds a key.
     """
 
     def __init__(self, clock: str, order: list[str], content: str, keep_us: int):
@@ -50,29 +59,33 @@ class Versions(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "content string, first_us long, last_us long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values([self.clock, *self.order], kind="stable")
-        held = self.last.get() if self.last.exists() else None
-        before = held
-        kinds, firsts = [], []
-        times = pdf[self.clock].astype("datetime64[us]").astype("int64")
-        for content, at in zip(pdf[self.content].astype(str), times.tolist(), strict=True):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last = lambda value: (value is None, value)  # noqa: E731 (nulls sort last)
+        found = sorted(rows, key=lambda r: [last(r[c]) for c in (self.clock, *self.order)])
+        shape = Row(*found[0].__fields__, "change", "first_observed_us")
+        before = held = self.last.get()
+        out = []
+        for row in found:
+            content, at = row[self.content], _micros(row[self.clock])
+            content = None if content is None else str(content)
             if held is not None and at - held[2] > self.keep_us:
                 held = None
-            kinds.append("NEW" if held is None else "DUPLICATE" if held[0] == content else "UPDATED")
+            kind = "NEW" if held is None else "DUPLICATE" if held[0] == content else "UPDATED"
             held = (content, at if held is None else held[1], at if held is None else max(at, held[2]))
-            firsts.append(held[1])
-        if before is not None:
-            self.handle.deleteTimer(self._due(before[2]))
+            out.append(shape(*row, kind, held[1]))
+        due = None if before is None else self._due(before[2])
         self.last.update(held)
-        self.handle.registerTimer(self._due(held[2]))
-        yield pdf.assign(change=kinds, first_observed_us=firsts)
+        if due != self._due(held[2]):
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(self._due(held[2]))
+        return iter(out)
 
     def _due(self, last_us: int) -> int:
         """The millisecond after which no row can belong to the key's last one."""
         return (last_us + self.keep_us) // 1000 + 1
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.last.clear()
         return iter([])
 
@@ -94,7 +107,7 @@ def content_versions(stream: DataFrame, key: str, clock: str, order: list[str],
     """
     schema = stream.schema.add("change", "string").add("first_observed_us", "long")
     keep_us = int(pd.Timedelta(keep).total_seconds() * 1_000_000)
-    return stream.withWatermark(clock, delay).groupBy(key).transformWithStateInPandas(
+    return stream.withWatermark(clock, delay).groupBy(key).transformWithState(
         statefulProcessor=Versions(clock, order, content, keep_us), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
 
