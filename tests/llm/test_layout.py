@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import fair_mix, kd_shards, token_planes
+from tidemark.llm import _cut, fair_mix, kd_shards, token_planes
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -202,3 +202,19 @@ def test_mixed_rows_follow_the_mix(odd_docs):
 def test_no_path_is_local(spark):
     source = open(token_planes.__file__).read() + json.dumps(os.listdir(os.path.dirname(token_planes.__file__)))
     assert "localCheckpoint" not in source and "/tmp" not in source
+
+
+def test_batches_of_written_tables_are_bounded_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("a"), F.when(F.col("id") == 7, 9_000_000).otherwise(8_000)).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+    before = spark.conf.get(key)
+    got = [(r.rows, r.size) for r in _cut.cut(docs.mapInArrow(sizes, "rows long, size long"), "batches").collect()]
+    assert sum(rows for rows, _ in got) == 2000 and spark.conf.get(key) == before
+    usual = sorted(size for _, size in got)[:-1]  # the last holds the row that is longer than the bound
+    bound = (4 << 20) + 10_000  # and the row that goes beyond
+    assert max(usual) <= bound and max(size for _, size in got) <= 9_000_000 + bound
