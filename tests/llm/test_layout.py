@@ -3,6 +3,7 @@ import json
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -218,3 +219,19 @@ def test_batches_of_written_tables_are_bounded_by_bytes(spark):
     usual = sorted(size for _, size in got)[:-1]  # the last holds the row that is longer than the bound
     bound = (4 << 20) + 10_000  # and the row that goes beyond
     assert max(usual) <= bound and max(size for _, size in got) <= 9_000_000 + bound
+
+
+def test_ids_are_gathered_in_pieces():
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=n)) for n in [900] * 300 + [70_000, 0, 1]] + [None]
+    encoder = token_planes.TextEncoder(PATH)
+    encoder.encode(pa.array(texts[:30]))
+    body = pa.array(texts, pa.string())
+    tracemalloc.start()
+    ids, lengths = encoder.encode(body)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert most < 4 * ids.nbytes

@@ -19,6 +19,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,11 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ._cut import cut, fresh_path, note
-from ._words import ragged, slices, tidied, words_of
+from ._words import ragged, slices, tidied, trim, words_of
 
 MAGIC = b"TMPLANE1"
 #: ASCII marks that never join a letter or digit before them into one piece of the vocabulary's word pattern.
 TAIL = ".,;:!?$%&#*|)"
+#: Words whose ids are gathered at once.
+GATHER = 1 << 15
 ENDS_IN_LETTER = r"[A-Za-z0-9À-ÖØ-öø-ÿ]$"
 
 
@@ -215,10 +218,9 @@ class _Memory:
             at[unknown] = len(self.words) + np.arange(len(new))
             parts, counts = [self.flat], []
             for start in range(0, len(new), 4096):
-                for got in self.encode(new.slice(start, 4096).to_pylist()):
-                    ids = got.ids
-                    counts.append(len(ids))
-                    parts.append(np.array(ids, np.uint32))
+                found = [got.ids for got in self.encode(new.slice(start, 4096).to_pylist())]
+                counts.extend(map(len, found))
+                parts.append(np.fromiter(chain.from_iterable(found), np.uint32))
             self.words = pa.concat_arrays([self.words, new])
             self.flat = np.concatenate(parts)
             self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(counts)))
@@ -277,15 +279,22 @@ class TextEncoder:
         flat = np.concatenate((self.stems.flat, self.tails.flat, np.array([end or 0], np.uint32)))
         tail_at = tail_at + len(self.stems.flat)
         s, t = stems.indices.to_numpy(), tails.indices.to_numpy()
-        starts = np.stack((stem_at[s][codes], tail_at[t][codes]), 1).ravel()
-        counts = np.stack((stem_n[s][codes], tail_n[t][codes]), 1).ravel()
-        total = np.concatenate(([0], np.cumsum(counts)))[2 * offsets]
-        lengths = np.diff(total)
-        if end is not None:
-            starts = np.insert(starts, 2 * offsets[1:], len(flat) - 1)
-            counts = np.insert(counts, 2 * offsets[1:], 1)
-            lengths = lengths + 1
-        return flat[ragged(starts, counts)], lengths
+        stem_at, stem_n, tail_at, tail_n = stem_at[s], stem_n[s], tail_at[t], tail_n[t]
+        ids, lengths, low = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        while low < len(offsets) - 1:  # whole texts of about GATHER words: indices take many times the words' room
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + GATHER, "right")) - 1)
+            part, here = codes[offsets[low] : offsets[high]], 2 * (offsets[low : high + 1] - offsets[low])
+            starts = np.stack((stem_at[part], tail_at[part]), 1).ravel()
+            counts = np.stack((stem_n[part], tail_n[part]), 1).ravel()
+            n = np.diff(np.concatenate(([0], np.cumsum(counts)))[here])
+            if end is not None:
+                starts = np.insert(starts, here[1:], len(flat) - 1)
+                counts = np.insert(counts, here[1:], 1)
+                n = n + 1
+            ids.append(flat[ragged(starts, counts)])
+            lengths.append(n)
+            low = high
+        return np.concatenate(ids), np.concatenate(lengths)
 
 
 def _tails(words: pa.Array, stems: pa.Array) -> pa.Array:
@@ -308,6 +317,7 @@ def _encoder(path: str, special_as_text: bool = False) -> TextEncoder:
     key = path, special_as_text
     if key not in _encoders:
         _encoders[key] = TextEncoder(path, special_as_text=special_as_text)
+        trim()  # what parsing the file took
     return _encoders[key]
 
 
